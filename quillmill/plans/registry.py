@@ -1,0 +1,6 @@
+"""Every query of the engine by name, with its DuckDB twin where SQL can say it."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from quillmill.llm import decontaminate, lines, mixing
+from quillmill.llm import decontaminate, lines, mixing, near
 
 QUERIES = {
     "op2_line_dedup": lines.query,
+    "op3_near_dedup": near.query,
     "op5_source_mixing": mixing.query,
     "op7_decontamination": decontaminate.query,
 }
 ORACLES = {
     "op2_line_dedup": lines.SQL,
+    "op3_near_dedup": near.SQL,
     "op5_source_mixing": mixing.QUERY_SQL,
     "op7_decontamination": decontaminate.SQL,
 }

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quillmill.llm import decontaminate, lines, mixing, near
+from quillmill.llm import decontaminate, langid, lines, mixing, near, quality
 
 QUERIES = {
+    "op1_quality_classifier": quality.query,
     "op2_line_dedup": lines.query,
     "op3_near_dedup": near.query,
+    "op4_language_id": langid.query,
     "op5_source_mixing": mixing.query,
     "op7_decontamination": decontaminate.query,
 }

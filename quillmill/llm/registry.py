@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmill.llm import decontaminate, langid, lines, mixing, near, quality
+from quillmill.llm import decontaminate, langid, lines, matroska, mixing, near, quality, warc
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
@@ -11,10 +11,13 @@ QUERIES = {
     "op4_language_id": langid.query,
     "op5_source_mixing": mixing.query,
     "op7_decontamination": decontaminate.query,
+    "op8_matroska_packets": matroska.query,
+    "op9_warc_zstd": warc.query,
 }
 ORACLES = {
     "op2_line_dedup": lines.SQL,
     "op3_near_dedup": near.SQL,
     "op5_source_mixing": mixing.QUERY_SQL,
     "op7_decontamination": decontaminate.SQL,
+    "op9_warc_zstd": warc.SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmill.llm import decontaminate, langid, lines, matroska, mixing, near, quality, warc
+from quillmill.llm import decontaminate, html, langid, lines, matroska, mixing, near, quality, warc
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_decontamination": decontaminate.query,
     "op8_matroska_packets": matroska.query,
     "op9_warc_zstd": warc.query,
+    "op10_html_extraction": html.query,
 }
 ORACLES = {
     "op2_line_dedup": lines.SQL,

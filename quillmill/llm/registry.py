@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmill.llm import decontaminate, html, langid, lines, matroska, mixing, near, quality, warc
+from quillmill.llm import decontaminate, html, langid, lines, matroska, mixing, near, passages, quality, warc
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_near_dedup": near.query,
     "op4_language_id": langid.query,
     "op5_source_mixing": mixing.query,
+    "op6_substring_dedup": passages.query,
     "op7_decontamination": decontaminate.query,
     "op8_matroska_packets": matroska.query,
     "op9_warc_zstd": warc.query,

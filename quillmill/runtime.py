@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -55,5 +55,14 @@ def size_in_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def broadcast_if_small(df: DataFrame, most_bytes: int = 8 << 20, most_rows: int = 1_000_000) -> DataFrame:
+    """A written table, marked for broadcast if its files and rows are within the limits; else left to a shuffled join.
+
+    The limits hold at every size of the corpus, so what is broadcast doesn't grow
+    with it; the rows of the join are the same either way.
+    """
+    return F.broadcast(df) if size_in_bytes(df) <= most_bytes and df.count() <= most_rows else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillmill.runtime import read_table
+from quillmill.runtime import broadcast_if_small, materialize, read_table
 
 WINDOW = 3
 
@@ -68,7 +68,7 @@ def deduplicate_lines(docs: DataFrame) -> DataFrame:
     names = docs.columns
     numbered = docs.toDF(*(f"c{k}" for k in range(len(names))))
     of = {n: f"c{k}" for k, n in enumerate(names)}
-    joined = numbered.join(removed_positions(docs.select("doc_id", "text")), F.col(of["doc_id"]) == F.col("id"), "left")
+    joined = numbered.join(broadcast_if_small(materialize(removed_positions(docs.select("doc_id", "text")))), F.col(of["doc_id"]) == F.col("id"), "left")
     text = F.expr(f"CASE WHEN gone IS NULL THEN {of['text']} WHEN size(gone) < size(split({of['text']}, '\\n')) THEN array_join(filter(split({of['text']}, '\\n'), (x, i) -> NOT array_contains(gone, i)), '\\n') END")
     return joined.withColumn(of["text"], text).where(f"gone IS NULL OR {of['text']} IS NOT NULL").select(*(F.col(c).alias(n) for n, c in of.items()))
 

@@ -30,7 +30,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from quillmill.runtime import materialize, read_table
+from quillmill.runtime import broadcast_if_small, materialize, read_table
 
 
 @dataclass(frozen=True)
@@ -88,7 +88,7 @@ def chosen(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
 
 def mix(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
     """The documents of the chosen blocks, in the columns they have."""
-    kept = chosen(docs, mixture).select("id").distinct()
+    kept = broadcast_if_small(materialize(chosen(docs, mixture).select("id").distinct()))
     return docs.join(kept, F.coalesce(docs["doc_id"], F.lit(-1)) == kept["id"], "left_semi")
 
 

@@ -119,8 +119,11 @@ class Spark(Dialect):
         return f"(CASE WHEN size({xs}) >= {n} THEN transform(sequence(1, size({xs}) - {n - 1}), i -> array_join(slice({xs}, i, {n}), ' ')) ELSE array() END)"
 
     def grams(self, x, n):
-        """Substrings of ``n`` characters; a shorter text is one."""
-        return f"(CASE WHEN char_length({x}) >= {n} THEN transform(sequence(1, char_length({x}) - {n - 1}), i -> substr({x}, i, {n})) ELSE array({x}) END)"
+        """Runs of ``n`` characters of ``x``, whose characters are in column ``chars``; a shorter text is one."""
+        return f"(CASE WHEN char_length({x}) >= {n} THEN transform(sequence(1, char_length({x}) - {n - 1}), (v, i) -> concat({', '.join(f'chars[i + {k}]' for k in range(n))})) ELSE array({x}) END)"
+
+    def characters(self, x):
+        return f"split({x}, '')"
 
 
 class Duck(Dialect):
@@ -181,7 +184,10 @@ class Duck(Dialect):
         return f"list_transform(range(1, greatest(1, len({xs}) - {n - 2})), lambda i: array_to_string({xs}[i:i + {n - 1}], ' '))"
 
     def grams(self, x, n):
-        return f"(CASE WHEN length({x}) >= {n} THEN list_transform(range(1, length({x}) - {n - 2}), lambda i: substr({x}, i, {n})) ELSE [{x}] END)"
+        return f"(CASE WHEN length({x}) >= {n} THEN list_transform(range(1, length({x}) - {n - 2}), lambda i: {' || '.join(f'chars[i + {k}]' for k in range(n))}) ELSE [{x}] END)"
+
+    def characters(self, x):
+        return f"regexp_extract_all({x}, '(?s).')"
 
 
 SPARK, DUCK = Spark(), Duck()

@@ -2,5 +2,39 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from quillmill.config import ExactConfig
+from quillmill.functions import text
+from quillmill.functions.dialect import Layers
+from quillmill.operators import exact, language
+from quillmill.runtime import read_table
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def _query(name: str, run, sql: str | None = None, table: str = "documents") -> None:
+    """Register ``run``, a function of a table (or Layers over it), and its twin."""
+    if isinstance(run, Layers):
+        sql = run.duck(table) if sql is None else sql
+        run = run.spark
+    QUERIES[name] = lambda spark, sf_dir, run=run: run(read_table(spark, sf_dir, table))
+    if sql is not None:
+        ORACLES[name] = sql
+
+
+_query("exact_dedup", exact.keepers, exact.SQL["exact_dedup"])
+_query("exact_dedup_last", lambda docs: exact.keepers(docs, ExactConfig(keep_first=False)), exact.SQL["exact_dedup_last"])
+_query("exact_groups", lambda docs: exact.duplicate_groups(docs).withColumn("members", F.array_join(F.col("members").cast("array<string>"), ",")), exact.SQL["exact_groups"])
+_query("exact_stats", exact.statistics, exact.SQL["exact_stats"])
+_query("soft_weights", exact.soft_weights, exact.SQL["soft_weights"])
+_query("text_hashes", exact.hashes, exact.SQL["text_hashes"])
+_query("text_primitives", text.PRIMITIVES)
+_query("text_quality", text.TEXT_QUALITY)
+_query("url_features", text.URLS, table="pages")
+_query("page_head", text.PAGE_HEAD, table="pages")
+_query("clean_html_text", text.CLEAN, table="pages")
+_query("language_detect", language.DETECT)
+_query("language_filter", language.FILTER)
+_query("language_stats", language.statistics, language.stats_sql())

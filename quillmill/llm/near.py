@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillmill.llm import tokens
 from quillmill.llm.components import connected_components
-from quillmill.runtime import materialize, read_table
+from quillmill.runtime import broadcast_if_small, materialize, read_table
 
 
 @dataclass(frozen=True)
@@ -186,6 +186,7 @@ def groups(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
 
     def verified(pairs):
         ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        ends = broadcast_if_small(materialize(ends))
         sets = _sets(docs.join(ends, docs["doc_id"] == ends["id"], "left_semi"), config.shingle, lambda i, v: (i, v.tobytes()), "id long, set binary")
         return materialize(_verified(pairs, materialize(sets), config.threshold))
 
@@ -199,7 +200,7 @@ def groups(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
 
 def deduplicate(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
     """The documents, in the columns they have, with one of every group."""
-    gone = groups(docs, config).where("doc_id <> group_id").select(F.col("doc_id").alias("id"))
+    gone = broadcast_if_small(materialize(groups(docs, config).where("doc_id <> group_id").select(F.col("doc_id").alias("id"))))
     return docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
 
 

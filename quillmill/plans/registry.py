@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillmill.config import ExactConfig
 from quillmill.functions import text
 from quillmill.functions.dialect import Layers
-from quillmill.operators import exact, language
+from quillmill.operators import domain, exact, language, license, model, quality
 from quillmill.runtime import read_table
 
 QUERIES: dict = {}
@@ -38,3 +38,21 @@ _query("clean_html_text", text.CLEAN, table="pages")
 _query("language_detect", language.DETECT)
 _query("language_filter", language.FILTER)
 _query("language_stats", language.statistics, language.stats_sql())
+_query("quality_length", quality.length())
+_query("quality_gibberish", lambda docs: quality.gibberish().spark(quality.with_bytes(docs)), quality.gibberish().duck(quality.WITH_BYTES))
+_query("quality_repetition", quality.repetition())
+_query("quality_format", quality.formats())
+_query("quality_metadata", quality.metadata())
+_query("quality_processor", lambda docs: quality.processor().spark(quality.with_bytes(docs)), quality.processor_sql())
+_query("quality_stats", quality.statistics, quality.stats_sql())
+_query("model_scores", model.scores, model.SCORES.duck(model.GRAMS))
+_query("model_features", model.features, model.FEATURES.duck(quality.WITH_BYTES))
+_query("model_stats", model.statistics, model.stats_sql())
+_query("unigram_perplexity", model.unigram_perplexity, model.unigram_sql())
+QUERIES["model_accuracy"] = lambda spark, d: model.accuracy(read_table(spark, d, "documents"), read_table(spark, d, "labels"))
+ORACLES["model_accuracy"] = model.accuracy_sql()
+_query("domain_filter", domain.domain_filter(), table="pages")
+_query("license_assess", license.assess())
+_PAGE_TEXT = license.license_filter(url="url", key="page_id")
+_query("license_filter", lambda pages: _PAGE_TEXT.spark(pages.withColumnRenamed("html", "text")), _PAGE_TEXT.duck("(SELECT page_id, url, html AS text FROM pages)"), table="pages")
+_query("license_top_rejected", lambda pages: license.top_rejected_domains(_PAGE_TEXT.spark(pages.withColumnRenamed("html", "text"))), f"SELECT host, count(*) AS rejections FROM ({_PAGE_TEXT.duck('(SELECT page_id, url, html AS text FROM pages)')}) WHERE result = 'REJECT' GROUP BY host ORDER BY rejections DESC, host LIMIT 10", table="pages")

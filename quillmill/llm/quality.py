@@ -102,8 +102,16 @@ class Space:
         at = self.place[(name >> np.uint64(44)).astype(np.int64)]
         known = np.flatnonzero(at >= 0)
         known = known[self.hashes[at[known]] == name[known]]
-        counts = np.bincount(row[known] * len(self.hashes) + at[known], minlength=rows * len(self.hashes)).reshape(rows, -1)
-        return unit(_biased((np.log1p(counts) * self.weights).astype(np.float32), self.bias) @ self.axes)
+        r, f, width = row[known], at[known].astype(np.int64), len(self.hashes)
+        by = np.argsort(r, kind="stable")
+        r, f = r[by], f[by]
+        out = np.zeros((rows, self.axes.shape[1]), np.float32)
+        for first in range(0, rows, 128):  # a dense block of few rows at a time
+            many = min(128, rows - first)
+            s = slice(*np.searchsorted(r, (first, first + many)))
+            counts = np.bincount((r[s] - first) * width + f[s], minlength=many * width).reshape(many, -1)
+            out[first : first + many] = _biased((np.log1p(counts) * self.weights).astype(np.float32), self.bias) @ self.axes
+        return unit(out)
 
     def vote(self, vectors: np.ndarray) -> np.ndarray:
         """The label's share of the votes for each vector."""

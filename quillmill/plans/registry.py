@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmill.config import ExactConfig
+from quillmill.config import ExactConfig, NearConfig
 from quillmill.functions import text
 from quillmill.functions.dialect import Layers
-from quillmill.operators import domain, exact, language, license, model, quality
+from quillmill.operators import content, decontaminate, domain, exact, html, language, license, model, near, pii, quality
 from quillmill.runtime import read_table
 
 QUERIES: dict = {}
@@ -56,3 +56,32 @@ _query("license_assess", license.assess())
 _PAGE_TEXT = license.license_filter(url="url", key="page_id")
 _query("license_filter", lambda pages: _PAGE_TEXT.spark(pages.withColumnRenamed("html", "text")), _PAGE_TEXT.duck("(SELECT page_id, url, html AS text FROM pages)"), table="pages")
 _query("license_top_rejected", lambda pages: license.top_rejected_domains(_PAGE_TEXT.spark(pages.withColumnRenamed("html", "text"))), f"SELECT host, count(*) AS rejections FROM ({_PAGE_TEXT.duck('(SELECT page_id, url, html AS text FROM pages)')}) WHERE result = 'REJECT' GROUP BY host ORDER BY rejections DESC, host LIMIT 10", table="pages")
+_query("minhash_signatures", lambda docs: near.minhash(docs).select("doc_id", F.md5(F.array_join(F.col("signature").cast("array<string>"), ",")).alias("signature")), near.minhash_sql())
+_query("minhash_pairs", near.minhash_pairs)
+_query("near_dedup_minhash", lambda docs: near.deduplicate(docs).select("doc_id"))
+_query("simhash", near.simhash, near.SIMHASH_SQL)
+_query("simhash_pairs", near.simhash_pairs, f"WITH s AS ({near.SIMHASH_SQL}) SELECT x.doc_id AS id_a, y.doc_id AS id_b, 1 - bit_count(xor(x.simhash, y.simhash)) / CAST(64 AS DOUBLE) AS score FROM s x JOIN s y ON x.doc_id < y.doc_id WHERE bit_count(xor(x.simhash, y.simhash)) <= 12")
+_query("near_dedup_simhash", lambda docs: near.deduplicate(docs, NearConfig(method="simhash")).select("doc_id"))
+_query("semantic_pairs", lambda v: near.semantic_pairs(v, "vec_id", "embedding").withColumn("score", F.round("score", 4)), near.SEMANTIC_SQL, table="embeddings")
+_query("semantic_dedup", lambda v: near.semantic_dedup(v, "vec_id", "embedding").select("vec_id"), table="embeddings")
+
+
+def _assessed(spark, d):
+    return decontaminate.assess(read_table(spark, d, "documents"), decontaminate.index(read_table(spark, d, "benchmark")))
+
+
+QUERIES["ngram_contamination"] = _assessed
+ORACLES["ngram_contamination"] = decontaminate.assess_sql()
+QUERIES["ngram_matches"] = lambda spark, d: decontaminate.matches(read_table(spark, d, "documents"), decontaminate.index(read_table(spark, d, "benchmark")))
+ORACLES["ngram_matches"] = decontaminate.matches_sql()
+QUERIES["ngram_contamination_stats"] = lambda spark, d: decontaminate.statistics(_assessed(spark, d))
+ORACLES["ngram_contamination_stats"] = f"SELECT count(*) AS documents, count(*) FILTER (contaminated) AS contaminated, CAST(sum(total_ngrams) AS BIGINT) AS ngrams, CAST(sum(matched) AS BIGINT) AS matched FROM ({decontaminate.assess_sql()})"
+_query("pii_candidates", pii.COUNTS)
+_query("pii_spans", pii.spans)
+_query("pii_sanitize", lambda docs: pii.evaluate(docs).select("doc_id", "pii.risk", "pii.result", "pii.sanitized"))
+_query("toxicity", content.toxicity())
+_query("content_processor", content.process)
+_query("content_stats", lambda docs: content.statistics(content.process(docs)))
+_query("html_extract", lambda pages: html.extract(pages).select("page_id", "extracted.title", "extracted.text", F.size("extracted.headings").alias("headings"), F.size("extracted.links").alias("links"), "extracted.text_ratio", "extracted.is_valid", "extracted.quality_score"), table="pages")
+_query("html_extract_report", lambda pages: html.report(html.extract(pages)), table="pages")
+_query("conversation_language", lambda turns: language.DETECT.spark(turns.withColumn("doc_id", F.concat_ws(":", "conv_id", "turn"))), language.DETECT.duck("(SELECT *, conv_id || ':' || turn AS doc_id FROM conversations)"), table="conversations")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 
-@F.pandas_udf("entropy double, top_byte long, longest_run long")
+_STATS = T.StructType([T.StructField("entropy", T.DoubleType()), T.StructField("top_byte", T.LongType()), T.StructField("longest_run", T.LongType())])
+
+
+@F.pandas_udf(_STATS)
 def byte_stats(text: pd.Series) -> pd.DataFrame:
     """Shannon entropy of the bytes in bits, count of the commonest byte, longest run of one byte; zeros for a null or empty text."""
     out = np.zeros((len(text), 3))

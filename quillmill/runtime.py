@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: While a table is written: its shuffle files go at the end, and Arrow batches of long rows stay small.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+#: While a table is written: its shuffle files go at the end.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,5 +68,12 @@ def broadcast_if_small(df: DataFrame, most_bytes: int = 8 << 20, most_rows: int
     return F.broadcast(df) if size_in_bytes(df) <= most_bytes and df.count() <= most_rows else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 16 MB: a batch is held several times, by the JVM, the socket and Python, in each task."""
+    if int(spark.conf.get(_BATCH, "67108864b").rstrip("b")) > _BATCH_BYTES:
+        spark.conf.set(_BATCH, str(_BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

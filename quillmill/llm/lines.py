@@ -34,8 +34,8 @@ def _windows(docs: DataFrame) -> DataFrame:
     return (
         docs.select(F.col("doc_id").alias("id"), line.alias("line"))
         .where("id is not null and size(line) >= 3")
-        .select("id", F.posexplode(F.expr("transform(slice(line, 1, size(line) - 2), (x, i) -> struct(x AS a, line[i + 1] AS b, line[i + 2] AS c))")).alias("at", "w"))
-        .where("length(w.a) + length(w.b) + length(w.c) > 0")
+        .select("id", F.posexplode_outer(F.expr("transform(slice(line, 1, size(line) - 2), (x, i) -> struct(x AS a, line[i + 1] AS b, line[i + 2] AS c))")).alias("at", "w"))
+        .where("length(w.a) + length(w.b) + length(w.c) > 0")  # the outer explode: for the inner one Catalyst infers a filter that splits the text again for every line
         .select("id", "at", F.xxhash64("w.a", "w.b", "w.c").alias("h1"), F.xxhash64(F.lit(7), "w.c", "w.a", F.lit(1), "w.b").alias("h2"))
     )
 

@@ -8,7 +8,12 @@ from quillmill.config import ExactConfig, NearConfig
 from quillmill.functions import text
 from quillmill.functions.dialect import Layers
 from quillmill.operators import content, decontaminate, domain, exact, html, language, license, model, near, pii, quality
-from quillmill.runtime import read_table
+from quillmill import runtime
+
+
+def read_table(spark, sf_dir: str, name: str):
+    return runtime.spread(runtime.read_table(spark, sf_dir, name))
+
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -74,6 +74,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(_BATCH_BYTES))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Few partitions (a small file of one row group is a single one) over all cores; others are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -51,7 +51,7 @@ STAGES = [
     ("source mixing", mix_sources),
 ]
 
-#: The classifier, a fitted model, is beyond SQL; a brute-force version tests run().
+#: The classifier, a fitted model, is beyond SQL; the stages' operators are tested one by one against brute force.
 ORACLE_SQL = None
 
 

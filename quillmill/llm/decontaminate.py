@@ -18,7 +18,8 @@ these alone, which changes no result since ``min_match`` is at least four.
 
 The benchmark is not the corpus and does not grow with it. Its automaton is
 broadcast in parts of at most ``max_automaton_tokens`` tokens; more parts mean
-more passes, each over what the one before has left.
+more passes, each over the original texts. The spans of all parts are merged
+before a document is cut and judged, once, so the parts change no result.
 
 Defined cases: a null or empty text, and a text without tokens, has no match and
 stays as it is; null and empty items are ignored; a null ``doc_id`` and repeated
@@ -37,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quillmill.runtime import read_table
+from quillmill.runtime import broadcast_if_small, materialize, read_table
 
 _GATE = 4
 
@@ -189,19 +190,20 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out + chunks[at:])
 
 
-def _automata(benchmark: DataFrame, limits: Limits) -> list[Automaton]:
+def _automata(benchmark: DataFrame, limits: Limits) -> Iterator[Automaton]:
     """In parts: items are streamed to the driver, which holds one part of them at a time."""
-    parts, items, size = [], [], 0
+    items, size = [], 0
     for row in benchmark.select("text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
         item = words(row[0])
         if len(item) < limits.min_match:
             continue
         if items and size + len(item) > limits.max_automaton_tokens:
-            parts.append(Automaton(items, limits))
+            yield Automaton(items, limits)
             items, size = [], 0
         items.append(item)
         size += len(item)
-    return [*parts, Automaton(items, limits)] if items else parts
+    if items:
+        yield Automaton(items, limits)
 
 
 _REPORT = T.StructType([
@@ -210,50 +212,99 @@ _REPORT = T.StructType([
 ])
 
 
-def _verdicts(texts: list[str | None], automaton: Automaton, limits: Limits) -> Iterator[tuple]:
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of several parts as ``Automaton.matches`` gives those of one: disjoint and in order, touching ones joined."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and out[-1][1] >= a:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def _scan(texts: list[str | None], automaton: Automaton) -> Iterator[tuple]:
+    """Tokens, longest match and spans of every text."""
     for text in texts:
         tokens = words(text or "")
         spans, longest = automaton.matches(tokens)
-        removed = sum(b - a for a, b in spans)
-        yield len(tokens), removed, len(spans), longest, bool(removed) and removed >= limits.doc_coverage * len(tokens), cut(text, spans) if spans else text
+        yield len(tokens), longest, spans
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The contaminated documents: ``doc_id, n_tokens, removed_tokens, n_spans, longest_match, dropped`` and the text that is left.
-
-    With a benchmark of several parts there is a row for each part that matches.
-    """
-    spark = docs.sparkSession
+def _spans(texts: DataFrame, parts: list) -> DataFrame:
+    """``key, n, longest, spans`` of the texts that match, from rows ``key, text``; the spans, of all parts, as a flat list."""
     found = None
-    for automaton in _automata(benchmark, limits):
-        shared = spark.sparkContext.broadcast(automaton)
+    for shared in parts:
 
         def scan(batches, shared=shared):
             for batch in batches:
-                rows = [(i, *v) for i, v in zip(batch.column(0).to_pylist(), _verdicts(batch.column(1).to_pylist(), shared.value, limits)) if v[1]]
+                got = zip(batch.column(0).to_pylist(), _scan(batch.column(1).to_pylist(), shared.value))
+                rows = [(k, n, longest, [x for s in spans for x in s]) for k, (n, longest, spans) in got if spans]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [*[pa.int64()] * 5, pa.bool_(), pa.string()])], names=_REPORT.names)
+                    kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["key", "n", "longest", "spans"])
 
-        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, _REPORT)
+        part = texts.mapInArrow(scan, "key string, n long, longest long, spans array<long>")
         found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], _REPORT)
+    return found.groupBy("key").agg(F.max("n").alias("n"), F.max("longest").alias("longest"), F.flatten(F.collect_set("spans")).alias("spans"))
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, limits: Limits, give, schema, every: bool) -> DataFrame | None:
+    """``give(batch, verdicts)`` for the documents, or for those that match alone; None if no item is left.
+
+    A verdict is the tokens, removed tokens, spans, longest match, whether the document goes, and its text.
+    With several parts the matches are looked up by a digest of the text, as they depend on nothing else.
+    """
+    parts = [docs.sparkSession.sparkContext.broadcast(a) for a in _automata(benchmark, limits)]
+    if not parts:
+        return None
+    at, width, one = docs.columns.index("text"), len(docs.columns), parts[0] if len(parts) == 1 else None
+    if one is None:
+        key = max(docs.columns, key=len) + "_"
+        text = F.col("text").cast("string")
+        found = broadcast_if_small(materialize(_spans(docs.select(F.sha2(text, 256), text).where("text is not null"), parts)))
+        found = found.toDF(*[key + "_" * k for k in range(4)])
+        docs = docs.withColumn(key, F.sha2(text, 256)).join(found, key, "left" if every else "inner").select(*docs.columns, *found.columns[1:])
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            if one is not None:
+                got = _scan(texts, one.value)
+            else:
+                got = ((n or 0, longest or 0, merged(list(zip(s[::2], s[1::2]))) if s else []) for n, longest, s in zip(*(batch.column(k).to_pylist() for k in range(width, width + 3))))
+            verdicts = []
+            for text, (n, longest, spans) in zip(texts, got):
+                removed = sum(b - a for a, b in spans)
+                verdicts.append((n, removed, len(spans), longest, bool(removed) and removed >= limits.doc_coverage * n, cut(text, spans) if spans else text))
+            yield from give(batch.select(range(width)), verdicts)
+
+    return docs.mapInArrow(run, schema)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The contaminated documents: ``doc_id, n_tokens, removed_tokens, n_spans, longest_match, dropped`` and the text that is left."""
+
+    def give(batch, verdicts):
+        rows = [(i, *v) for i, v in zip(batch.column(0).to_pylist(), verdicts) if v[1]]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [*[pa.int64()] * 5, pa.bool_(), pa.string()])], names=_REPORT.names)
+
+    found = _judged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), benchmark, limits, give, _REPORT, every=False)
+    return found if found is not None else docs.sparkSession.createDataFrame([], _REPORT)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents, in the columns they have, without matches and without those that are dropped."""
-    for automaton in _automata(benchmark, limits):
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
-        at = docs.columns.index("text")
+    at = docs.columns.index("text")
 
-        def clean(batches, shared=shared):
-            for batch in batches:
-                verdicts = list(_verdicts(batch.column(at).to_pylist(), shared.value, limits))
-                columns = batch.columns
-                columns[at] = pa.array([v[5] for v in verdicts], batch.schema.field(at).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array([not v[4] for v in verdicts]))
+    def give(batch, verdicts):
+        columns = batch.columns
+        columns[at] = pa.array([v[5] for v in verdicts], batch.schema.field(at).type)
+        yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array([not v[4] for v in verdicts], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    found = _judged(docs, benchmark, limits, give, docs.schema, every=True)
+    return docs if found is None else found
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -256,6 +256,31 @@ def test_decontamination_edges(spark, table, empty):
     assert decontaminate.contamination(docs, bench, many).count() == 2
 
 
+def test_a_split_benchmark_changes_no_result(spark):
+    rng = random.Random(11)
+    items = [words(rng, 40, 10**6) for _ in range(4)]
+    items[1][:16] = items[0][12:28]
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    free = lambda n: words(rng, n, 10**6)
+    texts = [
+        [*items[0], *free(20), *items[1][20:], *items[2], *free(20)],  # dropped by the parts together
+        [*free(60), *items[0][:28], *items[1][16:], *free(60)],  # items that overlap, spans that touch
+        [*items[3][:20], *free(30)],
+        [*free(15), *items[2], *free(100)],
+        [*items[2], *items[3], *free(9)],
+        free(50),
+    ]
+    rows = [(k, ". ".join(t), 1) for k, t in enumerate(texts)]
+    rows += [(None, rows[1][1], 2), rows[3], (7, None, 1), (8, "", 1), (9, "!?", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_ int").repartition(3)
+    split = decontaminate.Limits(max_automaton_tokens=40)
+    for run in (decontaminate.contamination, decontaminate.decontaminate):
+        assert collect(run(docs, bench, split)) == collect(run(docs, bench)) and run(docs, bench, split).columns == run(docs, bench).columns
+    report = {r.doc_id: r for r in decontaminate.contamination(docs, bench, split).collect()}
+    assert report[0].dropped and 0 not in {r.doc_id for r in decontaminate.decontaminate(docs, bench, split).collect()}
+    assert decontaminate.contamination(docs, bench, split).count() == 7
+
+
 # mixing
 
 

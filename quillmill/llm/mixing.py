@@ -3,11 +3,17 @@
 The corpus is cut into shards by a seeded hash of ``doc_id``, as many as give a
 shard about ``shard_tokens`` tokens. In a shard the documents of a source, in
 seeded order, are cut into blocks of ``block_tokens`` tokens; a document belongs
-to the block in which it starts. A shard's seats, ``keep`` of its blocks, go one
-by one to the source with the highest quotient ``weight / (2 a + 1)``, ``a`` being
-the seats it has; ties go to the lesser name; a source whose blocks are used up
-gets no more. The quotas are integers, and the blocks that fill them are the
-first in seeded order.
+to the block in which it starts. A block takes as many seats as its documents run
+over nominal blocks: one, or more if a long document leaves the next ones without a
+start, so that seats measure tokens. A shard's seats, ``keep`` of those its blocks
+take, go one by one to the source with the highest quotient ``weight / (2 a + 1)``,
+``a`` being the seats it has; ties go to the lesser name; a source whose blocks are
+used up gets no more. The quotas are integers, and the blocks that fill them are the
+first in seeded order, the last of them if at least half of it fits.
+
+With ``spans`` off every block takes one seat, however long its documents are. That
+is the rule of the SQL twin and so of the query ``op5_source_mixing``; there a source
+of long documents gets more tokens than its weight says.
 
 Weights are per source; a source that isn't named has ``other`` (1 by default:
 equal shares). Tokens are runs of characters other than blanks.
@@ -41,6 +47,7 @@ class Mixture:
     block_tokens: int = 2_000
     shard_tokens: int = 2_000_000
     seed: int = 1
+    spans: bool = True
 
 
 def _hash(seed: str, value: Column) -> Column:
@@ -61,15 +68,25 @@ def _weight(mixture: Mixture) -> Column:
     return out
 
 
+def _widths(blocks: DataFrame, mixture: Mixture) -> DataFrame:
+    """``shard, src, block, width``: the seats a block takes, up to the next block that has a document."""
+    each = blocks.groupBy("shard", "src", "block").agg(F.sum("tokens").alias("tokens"))
+    if not mixture.spans:
+        return each.select("shard", "src", "block", F.lit(1).cast("long").alias("width"))
+    source = W.partitionBy("shard", "src")
+    after = F.coalesce(F.lead("block").over(source.orderBy("block")), F.ceil(F.sum("tokens").over(source) / mixture.block_tokens))
+    return each.select("shard", "src", "block", F.greatest(F.lit(1), after - F.col("block")).cast("long").alias("width"))
+
+
 def allocate(docs: DataFrame, mixture: Mixture = Mixture()) -> tuple[DataFrame, DataFrame]:
-    """Documents with their blocks, and the quotas ``shard, src, blocks, seats``."""
+    """Documents with their blocks, and the quotas ``shard, src, blocks, seats``; ``blocks`` is the seats that all blocks of the source take."""
     counted = materialize(_tokens(docs))
     total = counted.agg(F.sum("tokens")).first()[0] or 0
     shards = max(1, math.ceil(total / mixture.shard_tokens))
     placed = counted.select("*", (_hash(f"{mixture.seed}:s:", F.col("id")) % shards).alias("shard"), _hash(f"{mixture.seed}:o:", F.col("id")).alias("o"))
     before = F.coalesce(F.sum("tokens").over(W.partitionBy("shard", "src").orderBy("o", "id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     blocks = placed.select("id", "src", "shard", "tokens", F.floor(before / mixture.block_tokens).cast("long").alias("block"))
-    sizes = blocks.groupBy("shard", "src").agg(F.count_distinct("block").alias("blocks"))
+    sizes = _widths(blocks, mixture).groupBy("shard", "src").agg(F.sum("width").alias("blocks"))
     seat = sizes.select("shard", "src", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("a")).where(_weight(mixture) > 0)
     seat = seat.select("shard", "src", F.row_number().over(W.partitionBy("shard").orderBy((_weight(mixture) / (2 * F.col("a") + 1)).desc(), "src", "a")).alias("rank"))
     seats = sizes.groupBy("shard").agg(F.ceil(mixture.keep * F.sum("blocks")).cast("long").alias("total"))
@@ -81,8 +98,9 @@ def chosen(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
     """``id`` of the kept documents with ``shard``, ``src``, ``block`` and ``tokens``."""
     blocks, quotas = allocate(docs, mixture)
     order = _hash(f"{mixture.seed}:b:", F.concat_ws(":", "shard", "src", "block"))
-    ranked = blocks.groupBy("shard", "src", "block").agg(F.lit(1)).select("shard", "src", "block", F.row_number().over(W.partitionBy("shard", "src").orderBy(order, "block")).alias("k"))
-    taken = ranked.join(quotas, ["shard", "src"]).where("k <= seats").select("shard", "src", "block")
+    upto = F.sum("width").over(W.partitionBy("shard", "src").orderBy(order, "block").rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = _widths(blocks, mixture).select("shard", "src", "block", "width", upto.alias("k"))
+    taken = ranked.join(quotas, ["shard", "src"]).where("2 * k - width <= 2 * seats").select("shard", "src", "block")
     return blocks.join(taken, ["shard", "src", "block"])
 
 
@@ -93,7 +111,7 @@ def mix(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    kept = chosen(read_table(spark, sf_dir, "documents"))
+    kept = chosen(read_table(spark, sf_dir, "documents"), Mixture(spans=False))
     return kept.select(F.col("id").alias("doc_id"), F.col("src").alias("source"), "shard", "block", "tokens")
 
 

@@ -308,6 +308,18 @@ def test_mixing_follows_the_quotients(spark, table, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_long_documents_take_the_seats_they_run_over(spark):
+    rows = [(k, " ".join(["w"] * 1000), "long") for k in range(400)]
+    rows += [(1000 + k, " ".join(["w"] * 50), f"short{k % 2}") for k in range(16_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixture = mixing.Mixture(block_tokens=100, shard_tokens=200_000, keep=0.5)
+    _, quotas = mixing.allocate(docs, mixture)
+    share = {r.src: (r.b, r.s) for r in quotas.groupBy("src").agg({"blocks": "sum", "seats": "sum"}).toDF("src", "s", "b").select("src", "b", "s").collect()}
+    got = {r.src: r.t for r in mixing.chosen(docs, mixture).groupBy("src").agg({"tokens": "sum"}).toDF("src", "t").collect()}
+    assert all(abs(got[s] / sum(got.values()) - 1 / 3) < 0.05 for s in ("long", "short0", "short1")), (got, share)
+    assert abs(sum(got.values()) - 600_000) < 60_000, got
+
+
 # quality
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: While a table is written: its shuffle files go at the end.
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
-_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if sc.getCheckpointDir():
         return sc.getCheckpointDir().rstrip("/")
-    if not sc.master.startswith("local"):
+    if not re.match(r"local(\[|$)", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillmill-"))
     return sc.getCheckpointDir().rstrip("/")
@@ -69,8 +70,9 @@ def broadcast_if_small(df: DataFrame, most_bytes: int = 8 << 20, most_rows: int
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 16 MB: a batch is held several times, by the JVM, the socket and Python, in each task."""
-    if int(spark.conf.get(_BATCH, "67108864b").rstrip("b")) > _BATCH_BYTES:
+    """Arrow batches of at most 4 MB: a batch is held several times, by the JVM, the socket and Python, in each task. A lower setting stays."""
+    now = spark.conf.get(_BATCH, None)
+    if now is None or not 0 < spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) <= _BATCH_BYTES:
         spark.conf.set(_BATCH, str(_BATCH_BYTES))
 
 

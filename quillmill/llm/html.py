@@ -19,13 +19,15 @@ The trees learn from pages that mark their content themselves, with exactly one
 but the other signs is learnt. Pages are only mapped over: no shuffle.
 
 Defined cases: a null or empty page has a null title and empty text; text outside all
-elements belongs to the root; with no page to learn from all text outside of scripts
+elements belongs to the root; a tag that has no end is text; of elements nested deeper
+than 512 one takes the other's place, as in browsers, and their text stays; with no page to learn from all text outside of scripts
 is content; null ids and repeated rows are treated like others; an empty table
 gives an empty table; other columns aren't part of the result.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 import zlib
@@ -49,7 +51,11 @@ _IMPLIED = {t: (frozenset(a.split()), frozenset(b.split())) for ts, a, b in (
     ("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul", "p", "td th li div section article body"),
 ) for t in ts.split()}
 _KINDS = {t: k for k, ts in enumerate(("p pre blockquote", "h1 h2 h3 h4 h5 h6", "li dd dt option", "ul ol dl select", "a", "nav", "header footer aside", "form input button textarea label", "table tbody thead tfoot tr td th", "b i em strong span u small code sub sup br font", "div section article main figure", "head title meta link base", "html body", "script style noscript template iframe"), 1) for t in ts.split()}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: A comment, a declaration, or a tag; its attributes are matched as far as no quoted ``<`` or ``>`` comes up, so that no search runs further than to the next of these.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?]|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+)(>?)", re.S)
+_STEP = re.compile(r"[>\"']")
+#: Elements that are open at a time; one more takes the place of the last.
+MAX_DEPTH = 512
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _TITLE = "title"
 BUCKETS = 16
@@ -65,14 +71,60 @@ class Tree:
     pieces: list  # (node, text, number of the block it is in)
 
 
+class _Ends:
+    """Where tags end whose attributes have a quoted bracket, or a quote that isn't closed.
+
+    A scan that finds no end remembers the stretches outside of quotes that it passed: no tag that begins there has an end
+    either. So the scans together pass a page three times at most, one for each way of reading its quotes.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.dead = page, []
+
+    def after_quotes(self, at: int) -> int:
+        """The place of the first ``>`` outside of quotes, -1 for none."""
+        for begins, ends in self.dead:
+            k = bisect.bisect_right(begins, at) - 1
+            if k >= 0 and at <= ends[k]:
+                return -1
+        begins, ends, page = [at], [], self.page
+        while True:
+            m = _STEP.search(page, at)
+            if not m:
+                ends.append(len(page))
+                break
+            if m[0] == ">":
+                return m.start()
+            ends.append(m.start())
+            at = page.find(m[0], m.end()) + 1
+            if not at:
+                break
+            begins.append(at)
+        self.dead.append((begins, ends))
+        return -1
+
+
 def parse(page: str) -> Tree:
-    """The elements in document order below a root (number 0), and the text between tags."""
+    """The elements in document order below a root (number 0), and the text between tags. Linear in the page."""
     tree = Tree(["#root"], [-1], [0], [""], [])
     tag, parent, depth, pieces = tree.tag, tree.parent, tree.depth, tree.pieces
-    opened, at, block = [0], 0, 0
+    opened, at, block, last = [0], 0, 0, page.rfind(">")
+    places: dict[str, list[int]] = {}  # where in ``opened`` the elements of a name are
+    ends = _Ends(page)
     find = _TOKEN.search
+
+    def close(k: int) -> None:
+        for node in reversed(opened[k:]):
+            places[tag[node]].pop()
+        del opened[k:]
+
+    def top(names) -> int:
+        return max((places[t][-1] for t in names if places.get(t)), default=0)
+
     while True:
         m = find(page, at)
+        if m and m.start() > last and not page.startswith("<!--", m.start()):
+            m = None
         text = page[at : m.start()] if m else page[at:]
         if text and not text.isspace():
             pieces.append((opened[-1], text, block))
@@ -81,28 +133,28 @@ def parse(page: str) -> Tree:
         if not m:
             break
         at = m.end()
-        name = m.group(2) or m.group(5)
+        name = m.group(2)
         if not name:
+            at = page.find(">", at) + 1 if len(m[0]) == 2 else at
             continue
         name = name.lower()
-        attrs = m.group(3) or m.group(6) or ""
+        attrs = m.group(3)
+        if not m.group(4):
+            stop = ends.after_quotes(m.end(2))
+            stop = page.find(">", m.end(2)) if stop < 0 else stop
+            attrs, at = page[m.end(2) : stop], stop + 1
         if name in BLOCK:
             block += 1
-        if m.group(1) or m.group(4):
-            for k in range(len(opened) - 1, 0, -1):
-                if tag[opened[k]] == name:
-                    del opened[k:]
-                    break
+        if m.group(1):
+            if places.get(name):
+                close(places[name][-1])
             continue
         if name in _IMPLIED:
-            ends, bound = _IMPLIED[name]
-            for k in range(len(opened) - 1, 0, -1):
-                t = tag[opened[k]]
-                if t in ends:
-                    del opened[k:]
-                    break
-                if t in bound:
-                    break
+            k = top(_IMPLIED[name][0])
+            if k and k > top(_IMPLIED[name][1] - _IMPLIED[name][0]):
+                close(k)
+        if len(opened) > MAX_DEPTH:
+            close(len(opened) - 1)
         node = len(tag)
         tag.append(name)
         parent.append(opened[-1])
@@ -113,6 +165,7 @@ def parse(page: str) -> Tree:
                 end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
         elif name not in VOID and not attrs.endswith("/"):
+            places.setdefault(name, []).append(len(opened))
             opened.append(node)
     return tree
 

@@ -8,7 +8,8 @@ windows' log-probabilities, weighted by their bytes: all of its text counts.
 
 Training is in numpy (Adam, cross-entropy) on windows of a bounded sample of
 labelled documents: about ``per_language`` of each language, chosen by a hash of
-``doc_id``, and ``windows_per_doc`` places in each, spread over the text.
+``doc_id`` and text, one at least and equal texts once, and ``windows_per_doc`` places in
+each, spread over the text. Every language that has a labelled text can be predicted.
 
 For inference the embedding and the filters are multiplied out into tables over
 pairs of bytes, so that a filter of width 6 is the sum of three table rows.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillmill.llm import tokens
-from quillmill.runtime import read_table
+from quillmill.runtime import broadcast_if_small, materialize, read_table
 
 WIDTHS = (2, 4, 6)
 _SPAN = max(WIDTHS)
@@ -39,7 +40,6 @@ _SPAN = max(WIDTHS)
 class LangConfig:
     per_language: int = 500
     windows_per_doc: int = 4
-    max_languages: int = 200
     window: int = 256
     filters: int = 8
     embedding: int = 8
@@ -137,14 +137,15 @@ def _cut(data: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, n
 
 
 def train(docs: DataFrame, config: LangConfig = LangConfig()) -> Network | None:
-    """A network for the languages in ``docs.lang``, the ``max_languages`` commonest at most."""
-    known = docs.where("lang is not null and text is not null and length(text) > 0")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(config.max_languages).collect()
-    languages = sorted(r["lang"] for r in counts)
+    """A network for the languages in ``docs.lang``."""
+    draw = F.pmod(F.xxhash64(F.lit(config.seed), "doc_id", "text"), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    known = docs.where("lang is not null and text is not null and length(text) > 0").select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).withColumn("draw", draw)
+    counts = materialize(known.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")))
+    languages = sorted(r["lang"] for r in counts.select("lang").collect())
     if not languages:
         return None
-    rate = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, config.per_language / r["count"])))))
-    draw = F.pmod(F.xxhash64(F.lit(config.seed), "doc_id"), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    chance = broadcast_if_small(counts.select("lang", F.greatest(F.col("least"), F.lit(float(config.per_language)) / F.col("n")).alias("rate")))
+    sample = known.join(chance, "lang").where("draw <= rate").dropDuplicates(["lang", "text"])
     size, many = config.window, config.windows_per_doc
 
     def places(batches):
@@ -158,7 +159,7 @@ def train(docs: DataFrame, config: LangConfig = LangConfig()) -> Network | None:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["lang", "window"])
 
-    got = known.where(draw < rate[F.col("lang")]).select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(places, "lang string, window binary").toPandas()
+    got = sample.select("lang", "text").mapInArrow(places, "lang string, window binary").toPandas()
     if not len(got):
         return None
     got = got.sort_values(["lang", "window"], ignore_index=True)

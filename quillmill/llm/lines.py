@@ -1,6 +1,6 @@
 """Line deduplication by overlapping windows of three lines.
 
-Every three consecutive lines of a document (lines end at ``\\n``; blanks at the
+Every three consecutive lines of a document (lines end at ``\\n``; spaces at the
 ends of a line don't count) are hashed to 128 bits. Where a window occurs more
 than once in the corpus, the occurrence with the least ``(doc_id, position)``
 stays and every later one is removed; overlapping removed windows merge, since it
@@ -51,15 +51,25 @@ def removed_positions(docs: DataFrame) -> DataFrame:
     )
 
 
-def _kept(gone: str) -> Column:
-    return F.expr(f"filter(split(text, '\\n'), (x, i) -> NOT array_contains({gone}, i))")
+def _cut(text: str) -> Column:
+    """``lines``, how many lines the text has, and ``text``, what is left of it without the sorted positions ``gone``: null if nothing is.
+
+    The lines between two that go are taken as one slice, so that the work is in proportion to the lines.
+    """
+    before = "IF(i = 0, 0, z.g[i - 1] + 1)"
+    runs = f"concat(transform(z.g, (x, i) -> struct({before} AS s, x - {before} AS n)), array(struct(element_at(z.g, -1) + 1 AS s, size(z.l) - element_at(z.g, -1) - 1 AS n)))"
+    kept = f"flatten(transform(filter({runs}, r -> r.n > 0), r -> slice(z.l, r.s + 1, r.n)))"
+    whole = f"struct(size(z.l) AS lines, CASE WHEN size(z.g) < size(z.l) THEN array_join({kept}, '\n') END AS text)"
+    # a lambda's variable is computed once, whatever refers to it
+    return F.expr(f"transform(array(struct(split({text}, '\n') AS l, gone AS g)), z -> {whole})[0]")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """The documents that lose lines: ``doc_id, n_lines, removed_lines, text`` with the text that is left."""
     return (
         docs.select("doc_id", "text").join(removed_positions(docs), F.col("doc_id") == F.col("id"))
-        .select("doc_id", F.size(F.split("text", "\n")).alias("n_lines"), F.size("gone").alias("removed_lines"), F.array_join(_kept("gone"), "\n").alias("text"))
+        .select("doc_id", F.size("gone").alias("removed_lines"), _cut("text").alias("cut"))
+        .select("doc_id", F.col("cut.lines").alias("n_lines"), "removed_lines", F.coalesce("cut.text", F.lit("")).alias("text"))
     )
 
 
@@ -69,7 +79,7 @@ def deduplicate_lines(docs: DataFrame) -> DataFrame:
     numbered = docs.toDF(*(f"c{k}" for k in range(len(names))))
     of = {n: f"c{k}" for k, n in enumerate(names)}
     joined = numbered.join(broadcast_if_small(materialize(removed_positions(docs.select("doc_id", "text")))), F.col(of["doc_id"]) == F.col("id"), "left")
-    text = F.expr(f"CASE WHEN gone IS NULL THEN {of['text']} WHEN size(gone) < size(split({of['text']}, '\\n')) THEN array_join(filter(split({of['text']}, '\\n'), (x, i) -> NOT array_contains(gone, i)), '\\n') END")
+    text = F.when(F.col("gone").isNull(), F.col(of["text"])).otherwise(_cut(of["text"])["text"])
     return joined.withColumn(of["text"], text).where(f"gone IS NULL OR {of['text']} IS NOT NULL").select(*(F.col(c).alias(n) for n, c in of.items()))
 
 

@@ -10,6 +10,10 @@ the frames of a lace follow each other by the track's default duration.
 
 ``cued`` says that a cue point of the track names the packet's cluster.
 
+Several files or segments may follow each other in one value; tracks, cues and the
+scale are each segment's own, packets and clusters are counted on. A segment of
+unknown size ends where a header or a segment begins.
+
 A file that isn't Matroska, or is cut off, gives the packets before the fault and
 one row more, with ``error`` and without a track.
 
@@ -76,43 +80,45 @@ def unsigned(data: bytes, start: int, end: int) -> int:
 
 
 def frames(data: bytes, at: int, end: int) -> tuple[int, int, int, list[tuple[int, int]]]:
-    """Track, relative time, flags and the byte ranges of the frames of a block."""
-    track, at = vint(data, at)
-    if at + 3 > end:
-        raise ValueError("truncated block")
-    time = int.from_bytes(data[at : at + 2], "big", signed=True)
-    flags = data[at + 2]
-    at += 3
-    kind = flags >> 1 & 3
-    if not kind:
-        return track, time, flags, [(at, end - at)]
-    count, sizes = data[at] + 1, []
-    at += 1
-    if kind == 1:
-        for _ in range(count - 1):
-            size = 0
-            while data[at] == 255:
-                size += 255
+    """Track, relative time, flags and the byte ranges of the frames of a block; nothing past the block is read."""
+    start, block = at, data[at:end]
+    try:
+        track, at = vint(block, 0)
+        time = int.from_bytes(block[at : at + 2], "big", signed=True)
+        flags = block[at + 2]
+        at += 3
+        kind = flags >> 1 & 3
+        if not kind:
+            return track, time, flags, [(start + at, len(block) - at)]
+        count, sizes = block[at] + 1, []
+        at += 1
+        if kind == 1:
+            for _ in range(count - 1):
+                size = 0
+                while block[at] == 255:
+                    size += 255
+                    at += 1
+                sizes.append(size + block[at])
                 at += 1
-            sizes.append(size + data[at])
-            at += 1
-    elif kind == 3:
-        for k in range(count - 1):
-            before = at
-            value, at = vint(data, at)
-            if value is None:
-                value = (1 << 7 * (at - before)) - 1
-            sizes.append(value if not k else sizes[-1] + value - ((1 << (7 * (at - before) - 1)) - 1))
-    else:
-        if (end - at) % count:
-            raise ValueError("a fixed lace that doesn't divide")
-        sizes = [(end - at) // count] * (count - 1)
-    sizes.append(end - at - sum(sizes))
+        elif kind == 3:
+            for k in range(count - 1):
+                before = at
+                value, at = vint(block, at)
+                if value is None:
+                    value = (1 << 7 * (at - before)) - 1
+                sizes.append(value if not k else sizes[-1] + value - ((1 << (7 * (at - before) - 1)) - 1))
+        else:
+            if (len(block) - at) % count:
+                raise ValueError("a fixed lace that doesn't divide")
+            sizes = [(len(block) - at) // count] * (count - 1)
+    except IndexError:
+        raise ValueError("truncated block") from None
+    sizes.append(len(block) - at - sum(sizes))
     if min(sizes) < 0:
         raise ValueError("a lace exceeds its block")
     out = []
     for size in sizes:
-        out.append((at, size))
+        out.append((start + at, size))
         at += size
     return track, time, flags, out
 
@@ -128,46 +134,69 @@ class File:
 
 def parse(data: bytes) -> File:
     """All of a file that can be read; ``error`` says what ended it early."""
-    out, clusters = File(), []
+    whole = File()
+    at = number = 0
+    headed = False
     try:
-        name, start, end = element(data, 0, len(data))
-        if name != EBML or end is None:
-            raise ValueError("no EBML header")
-        name, start, end = element(data, end, len(data))
-        if name != SEGMENT:
-            raise ValueError("no segment")
-        base, at, end = start, start, len(data) if end is None else end
-        while at < end:
-            begin = at
-            name, start, stop = element(data, at, end)
-            if name == CLUSTER:
-                clusters.append(begin - base)
-                at = _cluster(data, start, stop, end, len(clusters) - 1, out)
-                continue
-            stop = end if stop is None else stop
-            if name == INFO:
-                for n, a, b in children(data, start, stop):
-                    out.scale = unsigned(data, a, b) if n == SCALE else out.scale
-            elif name == TRACKS:
-                for n, a, b in children(data, start, stop):
-                    if n == TRACK_ENTRY:
-                        _track(data, a, b, out)
-            elif name == CUES:
-                for n, a, b in children(data, start, stop):
-                    if n == CUE_POINT:
-                        _cue(data, a, b, out)
-            at = stop
+        while at < len(data):
+            name, start, end = element(data, at, len(data))
+            if name == EBML and end is not None:
+                headed, at = True, end
+            elif not headed:
+                raise ValueError("no EBML header")
+            elif name == SEGMENT:
+                out, clusters = File(), []
+                try:
+                    at = _segment(data, start, end, number, out, clusters)
+                finally:
+                    number += len(clusters)
+                    cued = _cued(out.cues, clusters, number - len(clusters))
+                    whole.scale, whole.tracks = out.scale, out.tracks
+                    whole.cues += out.cues
+                    whole.packets += [(*p, (p[0], p[6]) in cued) for p in out.packets]
+                headed = None  # further segments may do without a header
+            elif headed:
+                raise ValueError("no segment")
+            else:
+                at = len(data) if end is None else end
+        if headed is not None:
+            raise ValueError("no segment" if headed else "no EBML header")
     except IndexError:
-        out.error = "truncated file"
+        whole.error = "truncated file"
     except ValueError as e:
-        out.error = str(e)
-    cued = _cued(out.cues, clusters)
-    out.packets = [(*p, (p[0], p[6]) in cued) for p in out.packets]
-    return out
+        whole.error = str(e)
+    return whole
+
+
+def _segment(data: bytes, at: int, end: int | None, number: int, out: File, clusters: list) -> int:
+    base, limit = at, len(data) if end is None else end
+    while at < limit:
+        begin = at
+        name, start, stop = element(data, at, limit)
+        if end is None and name in (EBML, SEGMENT):
+            return begin
+        if name == CLUSTER:
+            clusters.append(begin - base)
+            at = _cluster(data, start, stop, limit, number + len(clusters) - 1, out)
+            continue
+        stop = limit if stop is None else stop
+        if name == INFO:
+            for n, a, b in children(data, start, stop):
+                out.scale = unsigned(data, a, b) if n == SCALE else out.scale
+        elif name == TRACKS:
+            for n, a, b in children(data, start, stop):
+                if n == TRACK_ENTRY:
+                    _track(data, a, b, out)
+        elif name == CUES:
+            for n, a, b in children(data, start, stop):
+                if n == CUE_POINT:
+                    _cue(data, a, b, out)
+        at = stop
+    return limit
 
 
-def _cued(cues: list, clusters: list) -> set:
-    number = {o: k for k, o in enumerate(clusters)}
+def _cued(cues: list, clusters: list, first: int = 0) -> set:
+    number = {o: k for k, o in enumerate(clusters, first)}
     return {(t, number[o]) for _, t, o in cues if o in number}
 
 
@@ -202,7 +231,7 @@ def _cluster(data: bytes, at: int, stop: int | None, end: int, number: int, out:
     time, limit = 0, end if stop is None else stop
     while at < limit:
         name, a, b = element(data, at, limit)
-        if stop is None and name in TOP:
+        if stop is None and name in (*TOP, EBML, SEGMENT):
             return at
         if b is None:
             raise ValueError("an element of unknown size in a cluster")

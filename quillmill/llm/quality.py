@@ -15,8 +15,9 @@ half of the votes or toxicity at least half.
 
 The model is fitted on the driver from at most ``per_class`` labelled documents of
 each of three classes (bad; good but toxic; good), those with the least hash of
-``doc_id``; what is broadcast is bounded by that and by ``max_features``, whatever
-the size of the corpus. Documents are only mapped over: no shuffle.
+``doc_id``; what is broadcast, these documents' vectors and the features that
+correlate in them, is bounded by that, whatever the size of the corpus. Documents
+are only mapped over: no shuffle.
 
 Defined cases: a null or empty text, or one without any feature of a space, has the
 constant feature alone and votes are counted as for any other; label rows with a null are ignored; with no
@@ -40,7 +41,6 @@ from quillmill.runtime import read_table
 @dataclass(frozen=True)
 class QualityConfig:
     per_class: int = 1500
-    max_features: int = 4096
     least_chi2: float = 25.0
     least_documents: int = 3
     rank: int = 64
@@ -87,8 +87,7 @@ def features(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class Space:
-    place: np.ndarray  # feature number by the top 20 bits of a hash, -1 for none
-    hashes: np.ndarray
+    hashes: np.ndarray  # of the features, sorted
     weights: np.ndarray
     axes: np.ndarray  # features and the constant x rank
     vectors: np.ndarray  # labelled documents x rank, of length 1
@@ -99,18 +98,24 @@ class Space:
 
     def embed(self, row: np.ndarray, name: np.ndarray, rows: int) -> np.ndarray:
         """Latent vectors of length 1."""
-        at = self.place[(name >> np.uint64(44)).astype(np.int64)]
-        known = np.flatnonzero(at >= 0)
-        known = known[self.hashes[at[known]] == name[known]]
-        r, f, width = row[known], at[known].astype(np.int64), len(self.hashes)
-        by = np.argsort(r, kind="stable")
-        r, f = r[by], f[by]
-        out = np.zeros((rows, self.axes.shape[1]), np.float32)
-        for first in range(0, rows, 128):  # a dense block of few rows at a time
-            many = min(128, rows - first)
-            s = slice(*np.searchsorted(r, (first, first + many)))
-            counts = np.bincount((r[s] - first) * width + f[s], minlength=many * width).reshape(many, -1)
-            out[first : first + many] = _biased((np.log1p(counts) * self.weights).astype(np.float32), self.bias) @ self.axes
+        width = len(self.hashes)
+        at = np.searchsorted(self.hashes, name)
+        at[at == width] = 0
+        known = np.flatnonzero(self.hashes[at] == name) if width else np.zeros(0, np.int64)
+        cell, count = np.unique(row[known] * width + at[known], return_counts=True)
+        r, f = cell // max(1, width), cell % max(1, width)
+        value = (np.log1p(count) * self.weights[f]).astype(np.float32)
+        out = np.tile(np.float32(self.bias) * self.axes[-1], (rows, 1))
+        edge = np.searchsorted(r, np.arange(rows + 1))
+        step = 1 << 14
+        for first in range(0, len(cell), step):  # few products at a time
+            s = slice(first, first + step)
+            part = self.axes[f[s]] * value[s, None]
+            begins = np.unique(np.clip(edge[:-1][edge[1:] > edge[:-1]], first, None))
+            begins = begins[begins < min(first + step, len(cell))] - first
+            if not len(begins) or begins[0]:
+                begins = np.concatenate([[0], begins])
+            out[r[first + begins]] += np.add.reduceat(part, begins, 0)
         return unit(out)
 
     def vote(self, vectors: np.ndarray) -> np.ndarray:
@@ -163,8 +168,7 @@ def _space(names: np.ndarray, at: np.ndarray, row: np.ndarray, number: np.ndarra
     hit = np.bincount(at, weights=y[row], minlength=len(names))
     phi = np.abs(hit - df * p) / np.sqrt(np.maximum(1e-9, p * (1 - p) * df * (n - df)))
     phi[(df < config.least_documents) | (df >= n) | (phi**2 * n < config.least_chi2)] = 0
-    chosen = np.lexsort((names, -phi))[: config.max_features]
-    chosen = np.sort(chosen[phi[chosen] > 0])
+    chosen = np.flatnonzero(phi > 0)
     index = np.full(len(names), -1)
     index[chosen] = np.arange(len(chosen))
     x = np.zeros((n, len(chosen)), np.float32)
@@ -174,9 +178,7 @@ def _space(names: np.ndarray, at: np.ndarray, row: np.ndarray, number: np.ndarra
     bias = config.constant * float(weights.max()) if len(chosen) else 1.0
     x = _biased(x * weights.astype(np.float32), bias)
     axes = _svd_axes(unit(x), config.rank, config.seed)
-    place = np.full(1 << 20, -1, np.int16)
-    place[(names[chosen] >> np.uint64(44)).astype(np.int64)] = np.arange(len(chosen))
-    return Space(place, names[chosen], weights, axes, unit(x @ axes), y, bias, float(p), config.neighbours)
+    return Space(names[chosen], weights, axes, unit(x @ axes), y, bias, float(p), config.neighbours)
 
 
 def train(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> list[Space] | None:

@@ -16,8 +16,10 @@ one is read all the same. A frame whose end can't be found ends its archive with
 such row.
 
 Defined cases: a null or empty archive gives no rows; in writing, a null page becomes
-an empty payload and is read back as ``''``, a null URL is left out of the headers
-and read back as null; repeated rows are repeated records; an empty table gives an
+an empty payload and is read back as ``''``, a null or empty URL is left out of the headers
+and read back as null; line ends and other control characters in a URL, and blanks at its
+ends, are percent-encoded, as a header can't hold them, and are read back so; a null id
+is read back as null; repeated rows are repeated records; an empty table gives an
 empty table; a page's other columns aren't part of an archive.
 """
 
@@ -25,8 +27,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
+from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard as zstd
@@ -182,11 +186,19 @@ def read_warc_zst(spark: SparkSession, path: str) -> DataFrame:
     return records(files.select(F.col("path").alias("archive"), "content"))
 
 
+def _uri(url: str) -> str:
+    """The URL as it can stand in a header line."""
+    bare = url.strip()
+    ends = url[: len(url) - len(url.lstrip())], url[len(url.rstrip()) :] if bare else ""
+    middle = re.sub(r"[\x00-\x1f\x7f-\x9f\u2028\u2029]", lambda m: quote(m[0]), bare)
+    return quote(ends[0]) + middle + quote(ends[1])
+
+
 def write_record(url: str | None, body: bytes, record_id: str, date: str = "2024-01-01T00:00:00Z") -> bytes:
     """A response record."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body)
     lines = [
-        "WARC/1.1", "WARC-Type: response", f"WARC-Record-ID: {record_id}", f"WARC-Date: {date}", *([] if url is None else [f"WARC-Target-URI: {url}"]),
+        "WARC/1.1", "WARC-Type: response", f"WARC-Record-ID: {record_id}", f"WARC-Date: {date}", *([f"WARC-Target-URI: {_uri(url)}"] if url else []),
         f"WARC-Payload-Digest: sha1:{base64.b32encode(hashlib.sha1(body).digest()).decode()}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + len(body)}",
     ]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + http + body + b"\r\n\r\n"
@@ -203,7 +215,10 @@ def write_archive(rows: list[bytes], trained: bytes | None) -> bytes:
 
 
 def train_dictionary(pages: DataFrame, samples: int = 300, sample_bytes: int = 65_536, size: int = 65_536) -> bytes | None:
-    """A dictionary from at most ``samples`` pages, the first ``sample_bytes`` characters of each."""
+    """A dictionary from at most ``samples`` pages, ``sample_bytes`` characters of each.
+
+    A setting of the encoder: it bounds what the driver holds and changes how small archives get, never what is read back.
+    """
     some = pages.where("html is not null and length(html) > 0").orderBy(F.xxhash64("page_id", "url"), "page_id").limit(samples)
     texts = [r[0].encode() for r in some.select(F.substring("html", 1, sample_bytes)).collect()]
     try:
@@ -232,7 +247,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     found = records(materialize(archive_pages(pages, train_dictionary(pages))))
     return found.select(
-        F.regexp_extract("record_id", r"^<urn:page:(\d+)>$", 1).cast("long").alias("page_id"), "url", "record_type", "status", "content_length", F.col("payload").alias("html"), "valid", "error"
+        F.expr(r"try_cast(regexp_extract(record_id, r'^<urn:page:(-?\d+)>$', 1) AS BIGINT)").alias("page_id"), "url", "record_type", "status", "content_length", F.col("payload").alias("html"), "valid", "error"
     )
 
 

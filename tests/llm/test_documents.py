@@ -351,7 +351,7 @@ def test_votes_are_exact_neighbours():
     rng = np.random.default_rng(1)
     v = quality.unit(rng.standard_normal((40, 8)).astype(np.float32))
     y = (rng.random(40) < 0.5).astype(float)
-    space = quality.Space(np.zeros(1), np.zeros(0, np.uint64), np.zeros(0), np.zeros((1, 8)), v, y, 0.0, 0.5, 5)
+    space = quality.Space(np.zeros(0, np.uint64), np.zeros(0), np.zeros((1, 8)), v, y, 0.0, 0.5, 5)
     q = quality.unit(rng.standard_normal((9, 8)).astype(np.float32))
     for got, x in zip(space.vote(q), q):
         c = np.round(v @ x, 5)

@@ -196,20 +196,35 @@ SPARK, DUCK = Spark(), Duck()
 class Layers:
     """Columns in layers: each may use those of the layers before.
 
-    ``layers`` is a function of a dialect that returns a list of dicts, name to expression.
+    ``layers`` is a function of a dialect that returns a list of dicts, name to expression. ``prepare``
+    adds columns to Spark's frame before the layers, where DuckDB has layers of its own for them.
+
+    A column of the frame that has the name of one of these is replaced by it; ``keep`` and ``spark`` are
+    safe with any names.
     """
 
-    def __init__(self, layers, out: list[str], where: str | None = None):
-        self.layers, self.out, self.where = layers, out, where
+    def __init__(self, layers, out: list[str], where: str | None = None, prepare=None):
+        self.layers, self.out, self.where, self.prepare = layers, out, where, prepare
 
     def add(self, df, *also):
         """``df`` with the columns of all layers, and further ``(name, Column)`` before them."""
+        made = [layer for layer in self.layers(SPARK) if layer]
+        names = {n.lower() for layer in made for n in layer}
+        df = df.drop(*(c for c in df.columns if c.lower() in names))
+        if self.prepare:
+            df = self.prepare(df)
         for name, column in also:
             df = df.withColumn(name, column)
-        for layer in self.layers(SPARK):
+        for layer in made:
             df = df.selectExpr("*", *(f"{x} AS {n}" for n, x in layer.items()))
         return df
 
+    def keep(self, df, where: str):
+        """The rows of ``df`` for which a condition on the layers' columns holds, in the columns they have."""
+        own = {c: f"__own{k}" for k, c in enumerate(df.columns)}
+        both = df.selectExpr("*", *(f"`{c}` AS {p}" for c, p in own.items()))
+        return self.add(both).where(where).selectExpr(*(f"{p} AS `{c}`" for c, p in own.items()))
+
     def spark(self, df, *also):
         df = self.add(df, *also)
         return (df.where(self.where) if self.where else df).selectExpr(*self.out)
@@ -217,7 +232,7 @@ class Layers:
     def inner(self, source: str) -> str:
         """DuckDB's query for all columns of all layers."""
         sql = f"SELECT * FROM {source}"
-        for layer in self.layers(DUCK):
+        for layer in filter(None, self.layers(DUCK)):
             sql = f"SELECT *, {', '.join(f'{x} AS {n}' for n, x in layer.items())} FROM ({sql})"
         return sql
 

@@ -28,7 +28,8 @@ CONTEXT = {
 
 
 def _word(d: Dialect, entries) -> str:
-    return " + ".join(f"CAST({d.has('low', rf'(?:^|[^a-z])(?:{e})(?:[^a-z]|$)')} AS INT)" for e in entries)
+    # the plain search spares most texts the expression
+    return " + ".join(f"CAST((contains(low, {d.text(e)}) AND {d.has('low', rf'(?:^|[^a-z])(?:{e})(?:[^a-z]|$)')}) AS INT)" for e in entries)
 
 
 def toxicity_layers(d: Dialect, c: ToxicityConfig) -> list[dict]:

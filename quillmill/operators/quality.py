@@ -1,5 +1,8 @@
 """Quality filters: length, gibberish, repetition, format, metadata, and the processor that combines them.
 
+What is counted in a text comes from one pass in Arrow batches (``functions.measures``); the twins
+count in SQL. The decisions are expressions that both share.
+
 Every filter adds ``result``, ``confidence`` and its metrics; violations are counted
 into the confidence. Format, metadata and the combination follow definitions of this
 engine, since only their interfaces are given; they are labelled so below.
@@ -13,6 +16,7 @@ from quillmill.config import FormatConfig, GibberishConfig, LengthConfig, Qualit
 from quillmill.functions import text as T
 from quillmill.functions.bytes import BYTE_STATS_SQL, byte_stats
 from quillmill.functions.dialect import BLANK, PUNCT, Dialect, Layers
+from quillmill.functions.measures import FIELDS, measures
 
 #: DuckDB's documents with byte statistics.
 WITH_BYTES = f"(SELECT d.*, coalesce(entropy, 0) AS entropy, coalesce(top_byte, 0) AS top_byte, coalesce(longest_run, 0) AS longest_run FROM documents d LEFT JOIN ({BYTE_STATS_SQL}) USING (doc_id))"
@@ -39,7 +43,7 @@ def _violations(names: list[str]) -> str:
 def length_layers(d: Dialect, c: LengthConfig) -> list[dict]:
     either, both = ("OR", "OR") if c.strict else ("AND", "AND")
     return [
-        {"word_count": d.size("words"), "char_count": "solid_n"},
+        {"word_count": "n_words", "char_count": "solid_n"},
         {"too_short": f"word_count < {c.min_words} {either} char_count < {c.min_chars}", "too_long": f"word_count > {c.max_words} {both} char_count > {c.max_chars}"},
         {"length_result": "CASE WHEN too_short OR too_long THEN 'REJECT' ELSE 'KEEP' END", "length_reason": "CASE WHEN too_short THEN 'TOO_SHORT' WHEN too_long THEN 'TOO_LONG' ELSE 'CUSTOM' END",
          "length_confidence": f"CASE WHEN too_short OR too_long THEN {_num('0.95')} WHEN word_count < 20 THEN {_num('0.8')} WHEN word_count > 10000 THEN {_num('0.9')} ELSE {_num('1')} END"},
@@ -53,15 +57,21 @@ _GIBBERISH = (
 )
 
 
+def gibberish_counts(d: Dialect) -> list[dict]:
+    return [{
+        "vowel_n": d.letters("t", "AEIOUaeiou"), "word_bytes": d.total(d.map("words", "w", f"CAST({d.octets('w')} AS BIGINT)")), "long_words": d.size(d.keep("words", "w", f"{d.octets('w')} > 20")),
+        "pattern_text": "(" + " OR ".join(d.has("t", p) for p in _GIBBERISH) + ")",
+    }]
+
+
 def gibberish_layers(d: Dialect, c: GibberishConfig) -> list[dict]:
-    vowels = d.letters("t", "AEIOUaeiou")
     return [
-        {"vowel_n": vowels, "word_bytes": d.total(d.map("words", "w", f"CAST({d.octets('w')} AS BIGINT)")), "long_words": d.size(d.keep("words", "w", f"{d.octets('w')} > 20")), "n_words": d.size("words")},
+        *([] if d.name == "spark" else gibberish_counts(d)),
         {
             "repetition_ratio": f"CASE WHEN n < 10 THEN {_num('0')} ELSE CAST(top_byte AS DOUBLE) / n END",
             "vowel_ratio": f"CASE WHEN alpha_n > vowel_n THEN CAST(vowel_n AS DOUBLE) / (alpha_n - vowel_n) WHEN vowel_n > 0 THEN {_num('999')} ELSE {_num('0')} END",
             "mean_word": d.ratio("word_bytes", "n_words"), "long_share": d.ratio("long_words", "n_words"),
-            "pattern": "(" + " OR ".join([*(d.has("t", p) for p in _GIBBERISH), "longest_run > 20"]) + ")",
+            "pattern": "(pattern_text OR longest_run > 20)",
         },
         {
             "v_alpha": f"alpha_ratio < 1 - {_num(str(c.max_non_alpha))}", "v_digit": f"digit_ratio > {c.max_digit}", "v_symbol": f"symbol_ratio > {c.max_symbol}", "v_repeat": f"repetition_ratio > {c.max_repetition}",
@@ -82,28 +92,28 @@ _BOILER = (
 )
 
 
-def repetition_layers(d: Dialect, c: RepetitionConfig) -> list[dict]:
+def repetition_counts(d: Dialect, c: RepetitionConfig) -> list[dict]:
     shape = "l"
     for pattern, to in (("[^\\x00-\\x7F]", "X"), ("[A-Za-z]", "A"), ("[0-9]", "9"), (f"[{PUNCT}]", "X")):
         shape = d.sub(shape, pattern, to)
-    counts = (
-        (lambda xs: f"aggregate({xs}, CAST(struct('' AS last, 0 AS run, 0 AS rep, 0 AS top) AS STRUCT<last: STRING, run: INT, rep: INT, top: INT>), (s, v) -> CASE WHEN s.run > 0 AND v = s.last THEN struct(v AS last, s.run + 1 AS run, s.rep + CASE WHEN s.run = 1 THEN 2 ELSE 1 END AS rep, greatest(s.top, s.run + 1) AS top) ELSE struct(v AS last, 1 AS run, s.rep AS rep, greatest(s.top, 1) AS top) END)")
-        if d.name == "spark" else
-        (lambda xs: f"(SELECT {{'rep': CAST(coalesce(sum(k) FILTER (k > 1), 0) AS INT), 'top': CAST(coalesce(max(k), 0) AS INT)}} FROM (SELECT count(*) AS k FROM (SELECT unnest({xs}) AS v) GROUP BY v))")
-    )
-    ordered = (lambda xs: f"array_sort({xs})") if d.name == "spark" else (lambda xs: xs)
+    counts = lambda xs: f"(SELECT {{'rep': CAST(coalesce(sum(k) FILTER (k > 1), 0) AS INT), 'top': CAST(coalesce(max(k), 0) AS INT)}} FROM (SELECT count(*) AS k FROM (SELECT unnest({xs}) AS v) GROUP BY v))"
     return [
         {
-            "clean_lines": ordered(d.keep(d.map("line_list", "l", d.blanks("l")), "l", "l <> ''")),
-            "shapes": ordered(d.keep(d.map("line_list", "l", d.blanks(shape)), "l", "l <> ''")),
-            "word_grams": ordered(d.windows("words", c.ngram)), "unique_words": d.size(d.distinct("words")), "unique_low": d.size(d.distinct(d.map("words", "w", d.lower("w")))),
+            "clean_lines": d.keep(d.map("line_list", "l", d.blanks("l")), "l", "l <> ''"), "shapes": d.keep(d.map("line_list", "l", d.blanks(shape)), "l", "l <> ''"),
+            "word_grams": d.windows("words", c.ngram), "unique_words": d.size(d.distinct("words")), "unique_low": d.size(d.distinct(d.map("words", "w", d.lower("w")))),
             "common": "(" + " OR ".join(d.has("t", p) for p in _BOILER) + ")",
         },
         {"line_c": counts("clean_lines"), "gram_c": counts("word_grams"), "shape_c": counts("shapes")},
+        {"line_n": d.size("clean_lines"), "line_rep": "line_c.rep", "gram_n": d.size("word_grams"), "gram_rep": "gram_c.rep", "shape_top": "shape_c.top"},
+    ]
+
+
+def repetition_layers(d: Dialect, c: RepetitionConfig) -> list[dict]:
+    return [
+        *([] if d.name == "spark" else repetition_counts(d, c)),
         {
-            "line_repetition": d.ratio("line_c.rep", d.size("clean_lines")), "ngram_repetition": d.ratio("gram_c.rep", d.size("word_grams")),
-            "unique_ratio": d.ratio("unique_words", d.size("words")), "diversity": d.ratio("unique_low", d.size("words")),
-            "template": f"n > 0 AND {d.size('line_list')} >= 5 AND shape_c.top > {_num('0.3')} * {d.size('line_list')}",
+            "line_repetition": d.ratio("line_rep", "line_n"), "ngram_repetition": d.ratio("gram_rep", "gram_n"), "unique_ratio": d.ratio("unique_words", "n_words"), "diversity": d.ratio("unique_low", "n_words"),
+            "template": f"n > 0 AND n_lines >= 5 AND shape_top > {_num('0.3')} * n_lines",
         },
         {"boilerplate_score": f"least({_num('1')}, (CASE WHEN common THEN {_num('0.3')} ELSE {_num('0')} END) + line_repetition * {_num('0.4')} + (CASE WHEN diversity < 0.3 THEN ({_num('0.3')} - diversity) * 2 ELSE {_num('0')} END) + (CASE WHEN template THEN {_num('0.2')} ELSE {_num('0')} END))"},
         {"r_line": f"line_repetition > {c.max_line}", "r_gram": f"ngram_repetition > {c.max_ngram}", "r_unique": f"unique_words < {c.min_unique_words} OR unique_ratio < {c.min_unique_ratio}", "r_boiler": f"boilerplate_score > {c.max_boilerplate}"},
@@ -119,19 +129,22 @@ _CODE = (r"\b(class|const|def|from|function|import|let|var)\b", r"\{[^}]*\}", r"
 _BULLET = f"^[{BLANK}]*(?:[-*•◦▪▫‣⁃]|[0-9]+[.)])[{BLANK}]+"
 
 
+def format_counts(d: Dialect) -> list[dict]:
+    return [{
+        "tag_bytes": f"n - {d.octets(d.sub('t', '<[a-zA-Z/!][^>]*>', ''))}", "tag_count": d.count("t", "<[a-zA-Z/!][^>]*>"),
+        "code_lines": d.size(d.keep("line_list", "l", d.has("l", f"[;{{}}][{BLANK}]*$|^[{BLANK}]*(?:#include|#define|import |from [a-z.]+ import|def |class |function )"))),
+        "list_lines": d.size(d.keep("line_list", "l", d.has("l", _BULLET))), "open_lines": d.size(d.keep("line_list", "l", f"l <> '' AND NOT {d.has('l', '[.!?:;\\x22\\x27)][ \\t\\r]*$')}")),
+        "code_pattern": "(" + " OR ".join(d.has("t", p) for p in _CODE) + ")",
+        "error_page": d.has("t", r"(?i)\b(404 not found|403 forbidden|access denied|internal server error|page not found)\b"),
+    }]
+
+
 def format_layers(d: Dialect, c: FormatConfig) -> list[dict]:
     """HTML share of the bytes, share of lines that look like code, of one-sentence lines without a stop, and of list items."""
-    lines = d.size("line_list")
     return [
-        {
-            "tag_bytes": f"n - {d.octets(d.sub('t', '<[a-zA-Z/!][^>]*>', ''))}", "tag_count": d.count("t", "<[a-zA-Z/!][^>]*>"),
-            "code_lines": d.size(d.keep("line_list", "l", d.has("l", f"[;{{}}][{BLANK}]*$|^[{BLANK}]*(?:#include|#define|import |from [a-z.]+ import|def |class |function )"))),
-            "list_lines": d.size(d.keep("line_list", "l", d.has("l", _BULLET))), "open_lines": d.size(d.keep("line_list", "l", f"l <> '' AND NOT {d.has('l', '[.!?:;\\x22\\x27)][ \\t\\r]*$')}")),
-            "code_pattern": "(" + " OR ".join(d.has("t", p) for p in _CODE) + ")",
-            "error_page": d.has("t", r"(?i)\b(404 not found|403 forbidden|access denied|internal server error|page not found)\b"),
-        },
-        {"html_ratio": d.ratio("tag_bytes", "n"), "code_ratio": d.ratio("code_lines", lines), "list_ratio": d.ratio("list_lines", lines), "single_line_ratio": d.ratio("open_lines", lines)},
-        {"list_like": f"{lines} >= 3 AND list_ratio > {c.max_list}", "f_html": f"html_ratio > {c.max_html}", "f_code": f"code_ratio > {c.max_code}", "f_line": f"{lines} >= 3 AND single_line_ratio > {c.max_single_line}"},
+        *([] if d.name == "spark" else format_counts(d)),
+        {"html_ratio": d.ratio("tag_bytes", "n"), "code_ratio": d.ratio("code_lines", "n_lines"), "list_ratio": d.ratio("list_lines", "n_lines"), "single_line_ratio": d.ratio("open_lines", "n_lines")},
+        {"list_like": f"n_lines >= 3 AND list_ratio > {c.max_list}", "f_html": f"html_ratio > {c.max_html}", "f_code": f"code_ratio > {c.max_code}", "f_line": f"n_lines >= 3 AND single_line_ratio > {c.max_single_line}"},
         {"format_k": f"CASE WHEN n = 0 THEN 0 ELSE {_violations(['f_html', 'f_code', 'f_line', 'error_page'])} END"},
         {"format_result": "CASE WHEN format_k > 0 THEN 'REJECT' ELSE 'KEEP' END", "format_confidence": f"CASE WHEN format_k > 0 THEN least({_num('0.95')}, {_num('0.6')} + format_k * {_num('0.1')}) ELSE {_times(('list_like', '0.9'), ('code_pattern', '0.95'))} END"},
     ]
@@ -147,16 +160,32 @@ _GENERATED = ("as a language model", "as an ai", "i cannot fulfill", "i'm sorry,
 def metadata_layers(d: Dialect, url: str | None = None) -> list[dict]:
     """Spam, translation and generation signs in the text; a blocked host or a spam word in the URL, if there is one."""
     u = f"coalesce({url}, '')" if url else "''"
+    counts = [] if d.name == "spark" else [{"low": d.lower("t")}, {"spam_signs": d.how_many("low", _SPAM), "translated": d.any_of("low", _TRANSLATED), "ai_signs": d.any_of("low", _GENERATED), "null_byte": "contains(t, chr(0))"}]
     return [
-        {"low": d.lower("t"), "low_url": d.lower(u)},
-        {"spam_signs": d.how_many("low", _SPAM), "translated": d.any_of("low", _TRANSLATED), "ai_signs": d.any_of("low", _GENERATED), "url_spam": d.any_of("low_url", ("casino", "click-farm", "porn", "spam", "viagra")), "null_byte": "contains(t, chr(0))"},
+        *counts,
+        {"low_url": d.lower(u)},
+        {"url_spam": d.any_of("low_url", ("casino", "click-farm", "porn", "spam", "viagra"))},
         {"metadata_k": _violations(["spam_signs >= 2", "translated", "ai_signs", "url_spam", "null_byte"])},
         {"metadata_result": "CASE WHEN metadata_k > 0 THEN 'REJECT' ELSE 'KEEP' END", "metadata_confidence": f"CASE WHEN metadata_k > 0 THEN least({_num('0.95')}, {_num('0.6')} + metadata_k * {_num('0.1')}) ELSE {_times(('spam_signs = 1', '0.9'))} END"},
     ]
 
 
 def _base(d: Dialect) -> list[dict]:
-    return [T.base(d), {**T.bytes_of(d), **T.word_lists(d)}, T.ratios(d)]
+    if d.name == "spark":
+        return [T.ratios(d)]
+    return [T.base(d), {**T.bytes_of(d), **T.word_lists(d)}, {**T.ratios(d), "n_words": d.size("words"), "n_lines": d.size("line_list")}]
+
+
+def measured(parts=(), ngram: int = 3):
+    """A function that adds the counts of ``parts`` to a frame."""
+    names = [n for p in FIELDS if p == "bytes" or p in parts for n in FIELDS[p]]
+
+    def add(docs: DataFrame) -> DataFrame:
+        docs = docs.drop(*(c for c in docs.columns if c.lower() in names))
+        own = [F.col(f"`{c}`") for c in docs.columns]
+        return docs.select(*own, measures("text", parts, ngram, (_SPAM, _TRANSLATED, _GENERATED)).alias("__measures")).select(*own, "__measures.*")
+
+    return add
 
 
 def _r(*names: str) -> list[str]:
@@ -164,24 +193,24 @@ def _r(*names: str) -> list[str]:
 
 
 def length(config: LengthConfig = LengthConfig()) -> Layers:
-    return Layers(lambda d: [T.base(d), {**T.bytes_of(d), **T.word_lists(d)}, *length_layers(d, config)], ["doc_id", "word_count", "char_count", "length_result", "length_reason", "length_confidence"])
+    return Layers(lambda d: [*_base(d), *length_layers(d, config)], ["doc_id", "word_count", "char_count", "length_result", "length_reason", "length_confidence"], prepare=measured())
 
 
 def gibberish(config: GibberishConfig = GibberishConfig()) -> Layers:
-    """Over documents with ``with_bytes``."""
-    return Layers(lambda d: [*_base(d), *gibberish_layers(d, config)], ["doc_id", *_r("alpha_ratio", "digit_ratio", "symbol_ratio", "entropy", "repetition_ratio", "vowel_ratio"), "longest_run", "gibberish_k", "gibberish_result", *_r("gibberish_confidence")])
+    """DuckDB's twin is over ``WITH_BYTES``."""
+    return Layers(lambda d: [*_base(d), *gibberish_layers(d, config)], ["doc_id", *_r("alpha_ratio", "digit_ratio", "symbol_ratio", "entropy", "repetition_ratio", "vowel_ratio"), "longest_run", "gibberish_k", "gibberish_result", *_r("gibberish_confidence")], prepare=measured(("gibberish",)))
 
 
 def repetition(config: RepetitionConfig = RepetitionConfig()) -> Layers:
-    return Layers(lambda d: [*_base(d), *repetition_layers(d, config)], ["doc_id", *_r("line_repetition", "ngram_repetition", "unique_ratio", "diversity", "boilerplate_score"), "unique_words", "template", "repetition_k", "repetition_result", *_r("repetition_confidence")])
+    return Layers(lambda d: [*_base(d), *repetition_layers(d, config)], ["doc_id", *_r("line_repetition", "ngram_repetition", "unique_ratio", "diversity", "boilerplate_score"), "unique_words", "template", "repetition_k", "repetition_result", *_r("repetition_confidence")], prepare=measured(("repetition",), config.ngram))
 
 
 def formats(config: FormatConfig = FormatConfig()) -> Layers:
-    return Layers(lambda d: [*_base(d), *format_layers(d, config)], ["doc_id", *_r("html_ratio", "code_ratio", "list_ratio", "single_line_ratio"), "tag_count", "list_like", "format_k", "format_result", *_r("format_confidence")])
+    return Layers(lambda d: [*_base(d), *format_layers(d, config)], ["doc_id", *_r("html_ratio", "code_ratio", "list_ratio", "single_line_ratio"), "tag_count", "list_like", "format_k", "format_result", *_r("format_confidence")], prepare=measured(("format",)))
 
 
 def metadata(url: str | None = None) -> Layers:
-    return Layers(lambda d: [*_base(d), *metadata_layers(d, url)], ["doc_id", "spam_signs", "translated", "ai_signs", "url_spam", "metadata_k", "metadata_result", *_r("metadata_confidence")])
+    return Layers(lambda d: [*_base(d), *metadata_layers(d, url)], ["doc_id", "spam_signs", "translated", "ai_signs", "url_spam", "metadata_k", "metadata_result", *_r("metadata_confidence")], prepare=measured(("metadata",)))
 
 
 FILTERS = ("length", "gibberish", "repetition", "format", "metadata")
@@ -199,22 +228,19 @@ def processor(config: QualityConfig = QualityConfig()) -> Layers:
             {"overall_score": f"({score}) / {_num(repr(total))}", "reason": first}, {"final_result": f"CASE WHEN reason <> 'CUSTOM' OR round(overall_score, 9) < {config.reject_below} THEN 'REJECT' ELSE 'KEEP' END"},
         ]
 
-    return Layers(layers, ["doc_id", *(f"{f}_result" for f in FILTERS), *_r("overall_score"), "reason", "final_result"])
+    return Layers(layers, ["doc_id", *(f"{f}_result" for f in FILTERS), *_r("overall_score"), "reason", "final_result"], prepare=measured(tuple(FIELDS), config.repetition.ngram))
 
 
 def keep(docs: DataFrame, config: QualityConfig = QualityConfig(), extra=()) -> DataFrame:
     """The documents that pass, in the columns they have; ``extra`` are further conditions (columns that are true to keep)."""
-    names = [f"`{c}`" for c in docs.columns]
-    plan = processor(config)
-    out = docs
     for condition in extra:
-        out = out.where(condition)
-    return plan.add(with_bytes(out)).where("final_result = 'KEEP'").selectExpr(*names)
+        docs = docs.where(condition)
+    return processor(config).keep(docs, "final_result = 'KEEP'")
 
 
 def statistics(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
     """Documents and mean score by final result and reason."""
-    found = processor(config).spark(with_bytes(docs))
+    found = processor(config).spark(docs)
     return found.groupBy("final_result", "reason").agg(F.count("*").alias("documents"), F.round(F.avg("overall_score"), 4).alias("mean_score"))
 
 

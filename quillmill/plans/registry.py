@@ -44,11 +44,11 @@ _query("language_detect", language.DETECT)
 _query("language_filter", language.FILTER)
 _query("language_stats", language.statistics, language.stats_sql())
 _query("quality_length", quality.length())
-_query("quality_gibberish", lambda docs: quality.gibberish().spark(quality.with_bytes(docs)), quality.gibberish().duck(quality.WITH_BYTES))
+_query("quality_gibberish", quality.gibberish().spark, quality.gibberish().duck(quality.WITH_BYTES))
 _query("quality_repetition", quality.repetition())
 _query("quality_format", quality.formats())
 _query("quality_metadata", quality.metadata())
-_query("quality_processor", lambda docs: quality.processor().spark(quality.with_bytes(docs)), quality.processor_sql())
+_query("quality_processor", quality.processor().spark, quality.processor_sql())
 _query("quality_stats", quality.statistics, quality.stats_sql())
 _query("model_scores", model.scores, model.SCORES.duck(model.GRAMS))
 _query("model_features", model.features, model.FEATURES.duck(quality.WITH_BYTES))

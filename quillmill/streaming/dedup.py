@@ -25,5 +25,4 @@ def deduplicate_within(stream: DataFrame, time: str, delay: str, text: str = "te
 
 def filtered(stream: DataFrame, layers, where: str) -> DataFrame:
     """Rows of a stream that pass a filter's layers, in the columns they have."""
-    names = [f"`{c}`" for c in stream.columns]
-    return layers.add(stream).where(where).selectExpr(*names)
+    return layers.keep(stream, where)

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: While a table is written: its shuffle files go at the end.
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
@@ -55,18 +55,35 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def size_in_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def _width(name: Column, kind: T.DataType) -> Column:
+    """Bytes that a value takes in memory."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.lit(16) + F.coalesce(F.octet_length(name), F.lit(0))
+    if isinstance(kind, T.StructType):
+        return sum((_width(name[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType)):
+            return F.lit(24) + F.coalesce(F.aggregate(F.transform(name, lambda x: _width(x, kind.elementType).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0))
+        each = 16 + 8 * len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 8
+        return F.lit(24) + F.coalesce(F.size(name), F.lit(0)) * each
+    return F.lit(8)
 
 
-def broadcast_if_small(df: DataFrame, most_bytes: int = 8 << 20, most_rows: int = 1_000_000) -> DataFrame:
-    """A written table, marked for broadcast if its files and rows are within the limits; else left to a shuffled join.
+def size_in_memory(df: DataFrame) -> tuple[int, int]:
+    """Bytes and rows of a written table as rows in memory: one pass over the lengths of its values."""
+    row = sum((_width(df[f.name], f.dataType) for f in df.schema.fields), F.lit(16)).cast("long")
+    found = df.agg(F.coalesce(F.sum(row), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
+    return found["b"], found["n"]
+
+
+def broadcast_if_small(df: DataFrame, most_bytes: int = 16 << 20, most_rows: int = 1_000_000) -> DataFrame:
+    """A written table, marked for broadcast if its rows in memory are within the limits; else left to a shuffled join.
 
     The limits hold at every size of the corpus, so what is broadcast doesn't grow
     with it; the rows of the join are the same either way.
     """
-    return F.broadcast(df) if size_in_bytes(df) <= most_bytes and df.count() <= most_rows else df
+    size, rows = size_in_memory(df)
+    return F.broadcast(df) if size <= most_bytes and rows <= most_rows else df
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -11,10 +11,6 @@ take, go one by one to the source with the highest quotient ``weight / (2 a + 1)
 used up gets no more. The quotas are integers, and the blocks that fill them are the
 first in seeded order, the last of them if at least half of it fits.
 
-With ``spans`` off every block takes one seat, however long its documents are. That
-is the rule of the SQL twin and so of the query ``op5_source_mixing``; there a source
-of long documents gets more tokens than its weight says.
-
 Weights are per source; a source that isn't named has ``other`` (1 by default:
 equal shares). Tokens are runs of characters other than blanks.
 
@@ -24,9 +20,8 @@ documents in a semi-join.
 
 Defined cases: a null source is the source ``''``; a null or empty text has 0
 tokens and goes with the block at its place; documents without tokens in a source
-that has no tokens in the shard form one block; a null ``doc_id`` hashes like
-``-1`` and is matched by its shard; rows that share a ``doc_id`` are kept or dropped
-together; an empty table gives an empty table; other columns pass through.
+that has no tokens in the shard form one block; rows that share a ``doc_id`` are kept or
+dropped together, and so are those without one, as one document; an empty table gives an empty table; other columns pass through.
 """
 
 from __future__ import annotations
@@ -47,16 +42,15 @@ class Mixture:
     block_tokens: int = 2_000
     shard_tokens: int = 2_000_000
     seed: int = 1
-    spans: bool = True
 
 
 def _hash(seed: str, value: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), value.cast("string"))), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(value.cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("long")
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
     return docs.select(
-        F.coalesce(F.col("doc_id"), F.lit(-1)).cast("long").alias("id"), F.coalesce(F.col("source"), F.lit("")).alias("src"),
+        F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("source"), F.lit("")).alias("src"),
         F.coalesce(F.regexp_count("text", F.lit(r"[^ \t\r\n]+")), F.lit(0)).cast("long").alias("tokens"),
     )
 
@@ -71,8 +65,6 @@ def _weight(mixture: Mixture) -> Column:
 def _widths(blocks: DataFrame, mixture: Mixture) -> DataFrame:
     """``shard, src, block, width``: the seats a block takes, up to the next block that has a document."""
     each = blocks.groupBy("shard", "src", "block").agg(F.sum("tokens").alias("tokens"))
-    if not mixture.spans:
-        return each.select("shard", "src", "block", F.lit(1).cast("long").alias("width"))
     source = W.partitionBy("shard", "src")
     after = F.coalesce(F.lead("block").over(source.orderBy("block")), F.ceil(F.sum("tokens").over(source) / mixture.block_tokens))
     return each.select("shard", "src", "block", F.greatest(F.lit(1), after - F.col("block")).cast("long").alias("width"))
@@ -107,35 +99,44 @@ def chosen(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
 def mix(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
     """The documents of the chosen blocks, in the columns they have."""
     kept = broadcast_if_small(materialize(chosen(docs, mixture).select("id").distinct()))
-    return docs.join(kept, F.coalesce(docs["doc_id"], F.lit(-1)) == kept["id"], "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]), "left_semi")
+
+
+#: The target of the registered query: shares in proportion to 1, but for these sources.
+TARGET = {"src0": 0.5, "src1": 2.0, "src2": 1.5}
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    kept = chosen(read_table(spark, sf_dir, "documents"), Mixture(spans=False))
+    kept = chosen(read_table(spark, sf_dir, "documents"), Mixture(weights=TARGET))
     return kept.select(F.col("id").alias("doc_id"), F.col("src").alias("source"), "shard", "block", "tokens")
 
 
-SQL = r"""
+def sql(mixture: Mixture = Mixture(weights=TARGET), docs: str = "documents") -> str:
+    """DuckDB's query for the documents of the chosen blocks."""
+    weight = "CASE src " + " ".join(f"WHEN '{n}' THEN CAST({w} AS DOUBLE)" for n, w in sorted(mixture.weights.items())) + f" ELSE CAST({mixture.other} AS DOUBLE) END" if mixture.weights else f"CAST({mixture.other} AS DOUBLE)"
+    draw = lambda kind, value: f"CAST('0x' || substr(md5('{mixture.seed}:{kind}:' || {value}), 1, 8) AS BIGINT)"
+    return rf"""
 WITH counted AS (
-  SELECT coalesce(doc_id, -1) AS id, coalesce(source, '') AS src,
+  SELECT doc_id AS id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS name, coalesce(source, '') AS src,
          coalesce(len(regexp_extract_all(text, '[^ \t\r\n]+')), 0) AS tokens FROM {docs}
-), size AS (SELECT greatest(1, CAST(ceil(sum(tokens) / 2000000.0) AS BIGINT)) AS shards FROM counted
+), size AS (SELECT greatest(1, CAST(ceil(sum(tokens) / {mixture.shard_tokens}.0) AS BIGINT)) AS shards FROM counted
 ), placed AS (
-  SELECT id, src, tokens, CAST('0x' || substr(md5('1:s:' || id), 1, 8) AS BIGINT) % shards AS shard,
-         CAST('0x' || substr(md5('1:o:' || id), 1, 8) AS BIGINT) AS o FROM counted, size
+  SELECT id, src, tokens, {draw('s', 'name')} % shards AS shard, {draw('o', 'name')} AS o FROM counted, size
 ), blocks AS (
-  SELECT id, src, shard, tokens, CAST(floor(coalesce(sum(tokens) OVER (PARTITION BY shard, src ORDER BY o, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 2000.0) AS BIGINT) AS block FROM placed
-), sizes AS (SELECT shard, src, count(DISTINCT block) AS blocks FROM blocks GROUP BY shard, src
+  SELECT id, src, shard, tokens, CAST(floor(coalesce(sum(tokens) OVER (PARTITION BY shard, src ORDER BY o, id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {mixture.block_tokens}.0) AS BIGINT) AS block FROM placed
+), width AS (
+  SELECT shard, src, block, greatest(1, coalesce(lead(block) OVER (PARTITION BY shard, src ORDER BY block), CAST(ceil(sum(t) OVER (PARTITION BY shard, src) / {mixture.block_tokens}.0) AS BIGINT)) - block) AS width
+  FROM (SELECT shard, src, block, sum(tokens) AS t FROM blocks GROUP BY shard, src, block)
+), sizes AS (SELECT shard, src, CAST(sum(width) AS BIGINT) AS blocks, {weight} AS weight FROM width GROUP BY shard, src
 ), seat AS (
-  SELECT shard, src, row_number() OVER (PARTITION BY shard ORDER BY 1.0 / (2 * a + 1) DESC, src, a) AS rank
-  FROM (SELECT shard, src, unnest(range(0, blocks)) AS a FROM sizes)
+  SELECT shard, src, row_number() OVER (PARTITION BY shard ORDER BY weight / (2 * a + 1) DESC, src, a) AS rank
+  FROM (SELECT shard, src, weight, unnest(range(0, blocks)) AS a FROM sizes WHERE weight > 0)
 ), won AS (
-  SELECT shard, src, count(*) AS seats FROM seat JOIN (SELECT shard, ceil(0.8 * sum(blocks)) AS total FROM sizes GROUP BY shard) USING (shard) WHERE rank <= total GROUP BY shard, src
+  SELECT shard, src, count(*) AS seats FROM seat JOIN (SELECT shard, ceil({mixture.keep} * sum(blocks)) AS total FROM sizes GROUP BY shard) USING (shard) WHERE rank <= total GROUP BY shard, src
 ), ranked AS (
-  SELECT shard, src, block, row_number() OVER (PARTITION BY shard, src ORDER BY CAST('0x' || substr(md5('1:b:' || shard || ':' || src || ':' || block), 1, 8) AS BIGINT), block) AS k
-  FROM (SELECT DISTINCT shard, src, block FROM blocks)
+  SELECT shard, src, block, width, sum(width) OVER (PARTITION BY shard, src ORDER BY {draw('b', "shard || ':' || src || ':' || block")}, block ROWS UNBOUNDED PRECEDING) AS k FROM width
 ), kept AS (
-  SELECT id, src, shard, block, tokens FROM blocks JOIN (SELECT shard, src, block FROM ranked JOIN won USING (shard, src) WHERE k <= seats) USING (shard, src, block)
+  SELECT id, src, shard, block, tokens FROM blocks JOIN (SELECT shard, src, block FROM ranked LEFT JOIN won USING (shard, src) WHERE 2 * k - width <= 2 * coalesce(seats, 0)) USING (shard, src, block)
 )
+SELECT id AS doc_id, src AS source, shard, block, CAST(tokens AS BIGINT) AS tokens FROM kept
 """
-QUERY_SQL = SQL.replace("{docs}", "documents") + "SELECT id AS doc_id, src AS source, shard, block, CAST(tokens AS BIGINT) AS tokens FROM kept"

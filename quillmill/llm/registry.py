@@ -19,7 +19,7 @@ QUERIES = {
 ORACLES = {
     "op2_line_dedup": lines.SQL,
     "op3_near_dedup": near.SQL,
-    "op5_source_mixing": mixing.QUERY_SQL,
+    "op5_source_mixing": mixing.sql(),
     "op7_decontamination": decontaminate.SQL,
     "op9_warc_zstd": warc.SQL,
 }

@@ -320,6 +320,21 @@ def test_long_documents_take_the_seats_they_run_over(spark):
     assert abs(sum(got.values()) - 600_000) < 60_000, got
 
 
+@pytest.mark.parametrize("weights", [{}, {"s0": 3.0, "s1": 0.5, "s2": 0.0}])
+def test_mixing_equals_its_sql_over_several_shards(spark, table, weights):
+    import duckdb
+
+    rng = random.Random(16)
+    rows = [(k, " ".join(["w"] * rng.choice([1, 5, 30, 30, 400])), f"s{min(4, int(rng.random() * 7))}") for k in range(700)] + [(None, "a b", "s1"), (None, "c", "s1"), (-1, "d", None), (800, None, "s3"), (5, "x y", "s9"), (801, "", "s8")]
+    mixture = mixing.Mixture(weights=weights, block_tokens=50, shard_tokens=5000, keep=0.6)
+    documents = __import__("pandas").DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = con.execute(mixing.sql(mixture)).fetchall()
+    got = mixing.chosen(spark.createDataFrame(rows, "doc_id long, text string, source string"), mixture).select("id", "src", "shard", "block", "tokens").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len({r[2] for r in want}) > 3
+
+
 # quality
 
 

@@ -60,6 +60,8 @@ class DecontaminationConfig:
     case_insensitive: bool = False
     remove_punctuation: bool = False
     uncapped_score: bool = False
+    characters: bool = False
+    max_frequency: int = 100
 
     @classmethod
     def strict(cls):
@@ -136,6 +138,7 @@ class PiiConfig:
     ips: bool = True
     addresses: bool = True
     names: bool = False
+    government_ids: bool = False
     placeholders: bool = True
     anonymize: bool = True
     safe_domains: tuple = ()
@@ -166,12 +169,14 @@ class ToxicityConfig:
 
     thresholds: dict = field(default_factory=lambda: {"hate_speech": 0.7, "harassment": 0.8, "profanity": 0.8, "violence": 0.7, "nsfw": 0.6, "threat": 0.7})
     context_factor: float = 0.5
+    lexicon: dict = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
 class ContentConfig:
     weights: tuple = (2.0, 3.0, 1.5)
     threshold: float = 0.7
+    strategy: str = "strict"  # or rejections, score
 
 
 def save_config(config, path: str) -> None:

@@ -84,6 +84,34 @@ def _urls(d: Dialect) -> list[dict]:
 URLS = Layers(_urls, ["page_id", "normalized_url", "domain", "host", "external"])
 
 
+def meta_content(d: Dialect, html: str, name: str) -> str:
+    """The content of a page's first meta tag with a name, which has to stand before it; '' for none."""
+    return d.group(html, f"(?i)<meta[^>]+name[ ]*=[ ]*[\"\\x27]{name}[\"\\x27][^>]+content[ ]*=[ ]*[\"\\x27]([^\"\\x27]*)[\"\\x27]")
+
+
+def meta_tags(d: Dialect, html: str) -> str:
+    """All meta tags of a page, as they stand."""
+    return d.all(html, "(?i)<meta[^>]*>")
+
+
+def encoding_of_bytes(raw: str) -> str:
+    """Spark's expression for the encoding of a binary column: byte order mark, charset declaration, ``ascii`` without a high byte, else ``utf-8``."""
+    head, latin = f"hex(substring({raw}, 1, 3))", f"decode({raw}, 'ISO-8859-1')"
+    said = f"lower(regexp_extract({latin}, r'(?i)charset[ ]*=[ ]*[\"\\x27]?([^\"\\x27> \\t\\n\\r]+)', 1))"
+    return f"CASE WHEN {head} = 'EFBBBF' THEN 'utf-8' WHEN {head} LIKE 'FFFE%' THEN 'utf-16le' WHEN {head} LIKE 'FEFF%' THEN 'utf-16be' WHEN {said} <> '' THEN {said} WHEN NOT {latin} RLIKE r'[\\x80-\\xFF]' THEN 'ascii' ELSE 'utf-8' END"
+
+
+def strip_html(d: Dialect, x: str) -> str:
+    """Without tags, five entities decoded, blanks collapsed."""
+    x = d.sub(x, "<[^>]*>", "")
+    for a, b in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " ")):
+        x = f"replace({x}, {d.text(a)}, {d.text(b)})"
+    return d.blanks(x)
+
+
+STRIPPED = Layers(lambda d: [{"h": "coalesce(html, '')"}, {"stripped": strip_html(d, "h"), "tags": meta_tags(d, "h"), "viewport": meta_content(d, "h", "viewport"), "author": meta_content(d, "h", "author")}, {"meta_tags": d.size("tags"), "tags_md5": f"md5({d.join('tags', '|')})"}], ["page_id", "stripped", "meta_tags", "tags_md5", "viewport", "author"])
+
+
 def _head(d: Dialect) -> list[dict]:
     low = d.lower("h")
     tag = "contains(h, '<') AND contains(h, '>')"

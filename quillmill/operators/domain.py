@@ -1,13 +1,21 @@
-"""Domain and URL filter: the first rule that applies decides. A row without a URL has no reputation and is rejected."""
+"""Domain and URL filter: the first rule that applies decides. A row without a URL has no reputation and is rejected.
+
+Lists are tuples of settings, or tables of any size (``with_lists``), joined by host. Repeated rows are
+judged alike; an empty table gives an empty one; a column named like one of the result is replaced.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, functions as F
+
+from quillmill import resources
 from quillmill.config import DomainConfig
-from quillmill.functions.dialect import Dialect, Layers
+from quillmill.functions.dialect import SPARK, Dialect, Layers
+from quillmill.runtime import broadcast_if_small, materialize
 
 SHORTENERS = "bit.ly cutt.ly goo.gl is.gd ow.ly rb.gy short.link t.co tinyurl.com v.gd".split()
 DOUBTFUL_TLDS = "cf click download ga ml review tk".split()
-DEFAULT_BLOCKED = ("auto-content.info", "click-farm.co", "fake-news.net", "malware-host.net", "phishing-example.org", "spam-site.com")
+DEFAULT_BLOCKED = tuple(resources.entries("blocked_hosts"))
 _URL = "(?i)^(?:.*[.]tk/.*|.*bit[.]ly/[a-z0-9]{6}.*|.*[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}.*|.*/click.*|.*/redirect.*|.*[0-9]{8,}.*|.*-{3,}.*|.*[.]{2,}.*)$"
 
 
@@ -19,15 +27,35 @@ def _n(x) -> str:
     return f"CAST({x} AS DOUBLE)"
 
 
-def domain_filter(config: DomainConfig = DomainConfig(), key: str = "page_id") -> Layers:
-    blocked = config.blocked or DEFAULT_BLOCKED
+def host_of(d: Dialect, url: str) -> str:
+    return d.sub(d.group(url, "https?://(?:www[.])?([^/]+)"), ":[0-9]+$", "")
+
+
+def listed(frame: DataFrame, host: str, **lists: DataFrame) -> DataFrame:
+    """``frame`` with a boolean column for each list (a table with column ``entry``): whether the host expression is on it."""
+    frame = frame.withColumn("__host", F.expr(host))
+    for name, table in lists.items():
+        entries = materialize(table.select(F.trim("entry").alias("__entry")).where("__entry <> ''").distinct().withColumn(name, F.lit(True)))
+        frame = frame.join(broadcast_if_small(entries), F.col("__host") == F.col("__entry"), "left").drop("__entry").withColumn(name, F.coalesce(name, F.lit(False)))
+    return frame.drop("__host")
+
+
+def with_lists(pages: DataFrame, blocked: DataFrame | None = None, allowed: DataFrame | None = None, config: DomainConfig = DomainConfig(), key: str = "page_id") -> DataFrame:
+    """The filter with lists that are tables; they count beside those of the settings, and the default blocklist only without either."""
+    lists = {n: t for n, t in (("__on_blocked", blocked), ("__on_allowed", allowed)) if t is not None}
+    return domain_filter(config, key, tuple(lists)).spark(listed(pages, host_of(SPARK, "coalesce(url, '')"), **lists))
+
+
+def domain_filter(config: DomainConfig = DomainConfig(), key: str = "page_id", tables: tuple = ()) -> Layers:
+    blocked = config.blocked or (() if "__on_blocked" in tables else DEFAULT_BLOCKED)
+    either = lambda test, name: f"({test} OR {name})" if name in tables else test
 
     def layers(d: Dialect) -> list[dict]:
         return [
-            {"u": "coalesce(url, '')"}, {"host": d.sub(d.group("u", "https?://(?:www[.])?([^/]+)"), ":[0-9]+$", "")},
+            {"u": "coalesce(url, '')"}, {"host": host_of(d, "u")},
             {
                 "tld": d.group("host", "([^.]*)$"), "hyphens": d.count("host", "-"), "dots": d.count("host", "[.]"), "path": d.group("u", "^.{8}[^/]*(/.*)$"), "params": d.group("u", "([?].*)$"),
-                "is_blocked": _in("host", blocked), "is_allowed": _in("host", config.allowed), "url_pattern": d.has("u", _URL), "spam_word": d.any_of(d.lower("u"), config.spam_keywords) if config.spam_keywords else "FALSE",
+                "is_blocked": either(_in("host", blocked), "__on_blocked"), "is_allowed": either(_in("host", config.allowed), "__on_allowed"), "url_pattern": d.has("u", _URL), "spam_word": d.any_of(d.lower("u"), config.spam_keywords) if config.spam_keywords else "FALSE",
                 "ip_host": d.has("host", "^[0-9]{1,3}([.][0-9]{1,3}){3}$"), "shortener": _in("host", SHORTENERS),
             },
             {

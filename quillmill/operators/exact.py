@@ -6,6 +6,8 @@ empty. Digests of 256 bits are what is shuffled, with partial aggregation.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quillmill.config import ExactConfig, SoftConfig
@@ -39,9 +41,13 @@ def deduplicate(docs: DataFrame, config: ExactConfig = ExactConfig()) -> DataFra
 
 
 def duplicate_groups(docs: DataFrame, config: ExactConfig = ExactConfig()) -> DataFrame:
-    """``group_id, members, size`` of the texts that occur more than once; members ascend."""
-    groups = docs.groupBy(digest(F.col("text"), config.algorithm).alias("h")).agg(F.sort_array(F.collect_list("doc_id")).alias("members"))
-    return groups.where("size(members) > 1").select(F.col("members")[0].alias("group_id"), "members", F.size("members").alias("size"))
+    """``group_id, doc_id, size`` for every document whose text occurs more than once; the id is the group's least ``doc_id``.
+
+    A row for each member: a text of any number of copies is counted with map-side combine and never gathered.
+    """
+    keyed = docs.select("doc_id", digest(F.col("text"), config.algorithm).alias("h"))
+    groups = keyed.groupBy("h").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("size")).where("size > 1")
+    return keyed.join(groups, "h").select("group_id", "doc_id", "size")
 
 
 def statistics(docs: DataFrame, config: ExactConfig = ExactConfig()) -> DataFrame:
@@ -55,9 +61,19 @@ def statistics(docs: DataFrame, config: ExactConfig = ExactConfig()) -> DataFram
 
 
 def soft_weights(docs: DataFrame, config: SoftConfig = SoftConfig(), algorithm: str = "sha256") -> DataFrame:
-    """``doc_id, weight``: the k-th copy of a text weighs ``decay ** (k - 1)``, at least ``min_weight``. (A definition of this engine.)"""
-    k = F.row_number().over(W.partitionBy(digest(F.col("text"), algorithm)).orderBy("doc_id"))
-    return docs.select("doc_id", F.greatest(F.lit(config.min_weight), F.pow(F.lit(config.decay), (k - 1).cast("double"))).alias("weight"))
+    """``doc_id, weight``: the k-th copy of a text weighs ``decay ** (k - 1)``, at least ``min_weight``. (A definition of this engine.)
+
+    Only the first copies, up to the one that has ``min_weight``, are ranked; each task sends so many of a text
+    at most. Rows with equal ``doc_id`` and text are one copy.
+    """
+    floor, decay = config.min_weight, config.decay
+    keyed = docs.select("doc_id", digest(F.col("text"), algorithm).alias("h"))
+    ranked = keyed.distinct().withColumn("k", F.row_number().over(W.partitionBy("h").orderBy("doc_id")))
+    if 0 < floor < 1 and 0 < decay < 1:
+        ranked = ranked.where(F.col("k") <= math.ceil(math.log(floor) / math.log(decay)) + 1)
+    ranked = ranked.select(F.col("h").alias("g"), F.col("doc_id").alias("id"), "k")
+    weight = F.greatest(F.lit(floor), F.pow(F.lit(decay), (F.col("k") - 1).cast("double")))
+    return keyed.join(ranked, F.expr("h = g AND doc_id <=> id"), "left").select("doc_id", F.coalesce(weight, F.lit(floor)).alias("weight"))
 
 
 def hashes(docs: DataFrame) -> DataFrame:
@@ -73,7 +89,7 @@ def _first8(x: str) -> str:
 SQL = {
     "exact_dedup": "SELECT min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY coalesce(text, '')",
     "exact_dedup_last": "SELECT max(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY coalesce(text, '')",
-    "exact_groups": "SELECT min(doc_id) AS group_id, array_to_string(list(doc_id ORDER BY doc_id), ',') AS members, CAST(count(*) AS INT) AS size FROM documents GROUP BY coalesce(text, '') HAVING count(*) > 1",
+    "exact_groups": "SELECT min(doc_id) OVER w AS group_id, doc_id, count(*) OVER w AS size FROM documents WINDOW w AS (PARTITION BY coalesce(text, '')) QUALIFY count(*) OVER w > 1",
     "exact_stats": """
 SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS documents, count(*) AS kept, CAST(coalesce(sum(c), 0) AS BIGINT) - count(*) AS removed, count(*) FILTER (c > 1) AS duplicate_groups,
        coalesce(max(c), 0) AS largest_group, round(CASE WHEN sum(c) > 0 THEN 100.0 * (sum(c) - count(*)) / sum(c) ELSE 0 END, 6) AS reduction_percent

@@ -1,14 +1,18 @@
 """Rule-based text extraction from pages: a tolerant tree, boilerplate rules, content scores, and metrics.
 
-``main_content`` is ``subtree`` (the lowest element that holds all qualifying ones) or
-``top1`` (the best element alone); equal scores go to the earlier element. Cleaning
+``main_content`` is ``top1`` (the best element alone) or ``subtree`` (the lowest element
+that holds all qualifying ones); equal scores go to the earlier element. Cleaning
 collapses blanks first, so extracted text is one line unless ``keep_newlines``.
+
+A null or empty page gives empty fields and isn't valid; repeated rows are extracted alike; of elements
+nested deeper than 512 one takes the other's place; every step is linear in the page.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import cached_property
 from html import unescape
 from html.parser import HTMLParser
 
@@ -30,7 +34,7 @@ class Element:
     children: list = field(default_factory=list)
     parts: list = field(default_factory=list)  # text and elements in order
 
-    @property
+    @cached_property
     def text(self) -> str:
         return " ".join("".join(p for p in self.parts if isinstance(p, str)).split())
 
@@ -47,26 +51,34 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element("#root")
         self.open = [self.root]
+        self.count: dict[str, int] = {}  # of the open elements by name
+
+    def _close(self, k: int) -> None:
+        for e in self.open[k:]:
+            self.count[e.tag] -= 1
+        del self.open[k:]
 
     def handle_starttag(self, tag, attrs):
-        if tag in _CLOSES and self.open[-1].tag == tag:
-            self.open.pop()
+        if (tag in _CLOSES and self.open[-1].tag == tag) or len(self.open) > 512:
+            self._close(len(self.open) - 1)
         e = Element(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(e)
         self.open[-1].parts.append(e)
         if tag not in VOID:
             self.open.append(e)
+            self.count[tag] = self.count.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.open.pop()
+            self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
+        if self.count.get(tag):
+            k = len(self.open) - 1
+            while self.open[k].tag != tag:
+                k -= 1
+            self._close(k)
 
     def handle_data(self, data):
         self.open[-1].parts.append(data)
@@ -109,30 +121,31 @@ def text_density(e: Element) -> float:
 
 def prune(e: Element) -> Element:
     for x in e.walk():
-        gone = [c for c in x.children if is_boilerplate(c)]
+        gone = {id(c) for c in x.children if is_boilerplate(c)}
         if gone:
-            x.children = [c for c in x.children if c not in gone]
-            x.parts = [p for p in x.parts if isinstance(p, str) or p in x.children]
+            x.children = [c for c in x.children if id(c) not in gone]
+            x.parts = [p for p in x.parts if isinstance(p, str) or id(p) not in gone]
     return e
 
 
-def main_content(root: Element, how: str = "subtree") -> Element | None:
+def main_content(root: Element, how: str = "top1") -> Element | None:
     scored = [(content_score(e), -k, e) for k, e in enumerate(root.walk()) if e.text and e.tag not in ("title", "head")]
     good = [x for x in scored if x[0] > 5]
     if not good:
         return None
     if how == "top1":
         return max(good, key=lambda x: x[:2])[2]
-    path: dict[int, list] = {}
-    stack = [(root, [root])]
-    while stack:
-        e, above = stack.pop()
-        path[id(e)] = above
-        stack += [(c, [*above, c]) for c in e.children]
-    shared = path[id(good[0][2])]
-    for _, _, e in good[1:]:
-        shared = [a for a, b in zip(shared, path[id(e)]) if a is b]
-    return shared[-1]
+    wanted = {id(e) for _, _, e in good}
+    held: dict[int, int] = {}
+    for e in reversed(list(root.walk())):
+        held[id(e)] = (id(e) in wanted) + sum(held[id(c)] for c in e.children)
+    at = root
+    while id(at) not in wanted:
+        whole = [c for c in at.children if held[id(c)] == len(good)]
+        if not whole:
+            break
+        at = whole[0]
+    return at
 
 
 def element_text(e: Element) -> str:
@@ -148,11 +161,14 @@ def element_text(e: Element) -> str:
     return "".join(out)
 
 
+#: Letters in UTF-8 that were read as Latin-1.
+_BROKEN = {c.encode().decode("latin-1"): c for c in "áéíóúèìòùâêîôûãñçà"}
+_REPAIR = re.compile("|".join(map(re.escape, _BROKEN)))
 _MARKS = str.maketrans({" ": " ", "–": "-", "‘": "'", "’": "'", "“": '"', "”": '"', "…": "..."})
 
 
 def clean_text(text: str, keep_newlines: bool = False) -> str:
-    text = unescape(text).translate(_MARKS)
+    text = _REPAIR.sub(lambda m: _BROKEN[m[0]], unescape(text)).translate(_MARKS)
     text = re.sub(r"<[^>]*>", "", text)
     if not keep_newlines:
         return " ".join(text.split())
@@ -163,15 +179,19 @@ def clean_text(text: str, keep_newlines: bool = False) -> str:
 _RESULT = T.StructType([
     T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), T.StructField("headings", T.ArrayType(T.StringType())), T.StructField("links", T.ArrayType(T.StringType())),
     T.StructField("text_ratio", T.DoubleType()), T.StructField("paragraphs", T.IntegerType()), T.StructField("link_density", T.DoubleType()), T.StructField("is_valid", T.BooleanType()), T.StructField("quality_score", T.DoubleType()),
+    T.StructField("language", T.StringType()), T.StructField("text_density", T.DoubleType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
 ])
 
 
-def extract_page(page: str | None, how: str = "subtree", keep_newlines: bool = False) -> tuple:
+def extract_page(page: str | None, how: str = "top1", keep_newlines: bool = False) -> tuple:
     """The fields of the result for one page; null and empty pages give empty, not valid, ones."""
     page = page or ""
     root = parse(page)
     title = next((e.text for e in root.walk() if e.tag == "title"), "")
     links = [e.attrs["href"] for e in root.walk() if e.tag == "a" and e.attrs.get("href")]
+    metas = [e.attrs for e in root.walk() if e.tag == "meta"]
+    metadata = {m["name"].lower(): m.get("content", "") for m in reversed(metas) if m.get("name")}
+    language = metadata.get("language") or next((e.attrs["lang"] for e in root.walk() if e.tag == "html" and e.attrs.get("lang")), "")
     body = prune(root)
     best = main_content(body, how)
     text = clean_text(element_text(best if best is not None else body), keep_newlines)
@@ -181,10 +201,10 @@ def extract_page(page: str | None, how: str = "subtree", keep_newlines: bool = F
     paragraphs = text.count("\n\n") + 1 if keep_newlines and text else 0
     density = 100.0 * len(links) / size if size else 0.0
     score = 0.4 * min(1.0, size / 1000) + 0.3 * min(1.0, ratio * 2) + 0.3 * min(1.0, paragraphs / 5)
-    return title, text, headings, links, round(ratio, 6), paragraphs, round(density, 6), size >= 50 and ratio >= 0.1, round(score, 6)
+    return title, text, headings, links, round(ratio, 6), paragraphs, round(density, 6), size >= 50 and ratio >= 0.1, round(score, 6), language, round(text_density(body), 6), metadata
 
 
-def extract(pages: DataFrame, how: str = "subtree", keep_newlines: bool = False, column: str = "html") -> DataFrame:
+def extract(pages: DataFrame, how: str = "top1", keep_newlines: bool = False, column: str = "html") -> DataFrame:
     """``pages`` with a struct ``extracted``."""
 
     @F.pandas_udf(_RESULT)

@@ -2,7 +2,7 @@
 
 The languages' lists are sets of twenty words; of equal scores the language that
 comes first in ``LANGUAGES`` wins. A plug-in model can take the place of the word
-lists: any column of structs ``(language, confidence)``.
+lists (``detect_with``).
 """
 
 from __future__ import annotations
@@ -88,6 +88,20 @@ def language_filter(config: LanguageConfig = LanguageConfig()) -> Layers:
 FILTER = language_filter()
 
 
+def detect_with(docs: DataFrame, model, config: LanguageConfig = LanguageConfig()) -> DataFrame:
+    """``doc_id, language, confidence, decision`` of a model: a function of the text column that gives a struct ``(language, confidence)``.
+
+    With None for a model every language is ``unknown`` and the confidence 0, as for texts that are too short.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    said = model(text) if model else F.struct(F.lit("unknown").alias("language"), F.lit(0.0).alias("confidence"))
+    rows = docs.select("doc_id", (F.octet_length(text) < config.min_length).alias("__short"), said.alias("__said"))
+    rows = rows.select("doc_id", "__short", F.when(F.col("__short"), "unknown").otherwise(F.coalesce("__said.language", F.lit("unknown"))).alias("language"), F.when(F.col("__short"), 0.0).otherwise(F.coalesce("__said.confidence", F.lit(0.0))).alias("confidence"))
+    wanted = F.col("language").isin(*config.targets) if config.targets else F.lit(True)
+    decision = F.when(F.col("__short"), "too_short").when((F.col("confidence") >= config.min_confidence) & wanted, "keep").otherwise("reject")
+    return rows.select("doc_id", "language", "confidence", decision.alias("decision"))
+
+
 def statistics(docs: DataFrame) -> DataFrame:
     """Documents and mean confidence by detected language."""
     return DETECT.spark(docs).groupBy("language").agg(F.count("*").alias("documents"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))

@@ -84,6 +84,57 @@ def scores(docs: DataFrame) -> DataFrame:
     return SCORES.spark(docs.withColumn("repeats", repeated_grams("text")))
 
 
+def single_stage(docs: DataFrame, threshold: float = STAGES[0][1]) -> DataFrame:
+    """``doc_id, ensemble_score, result``: one decision, by the first model's threshold."""
+    return scores(docs).select("doc_id", "ensemble_score", F.when(F.col("ensemble_score") >= threshold, "KEEP").otherwise("REJECT").alias("result"))
+
+
+def window_perplexities(text: str | None, size: int, stride: int) -> list[float]:
+    """The perplexity rule on every stretch of ``size`` bytes, from 0 on every ``stride``, that fits; none for a shorter text."""
+    b = np.frombuffer((text or "").encode(), np.uint8)
+    n = len(b)
+    if n < size:
+        return []
+    digit = (b >= 48) & (b <= 57)
+    alpha = ((b >= 65) & (b <= 90)) | ((b >= 97) & (b <= 122))
+    symbol = ~(digit | alpha | np.isin(b, list(b" \t\n\x0b\f\r")))
+    digits, symbols = (np.concatenate([[0], np.cumsum(m)]) for m in (digit, symbol))
+    low = np.where((b >= 65) & (b <= 90), b + 32, b).astype(np.uint64)
+    h = np.zeros(max(0, n - 9), np.uint64)
+    for k in range(10):
+        h += low[k : k + len(h)] * np.uint64(pow(1_000_003, k, 1 << 64))
+    h ^= h >> np.uint64(31)
+    out = []
+    for at in range(0, n - size + 1, stride):
+        own = h[at : at + max(0, size - 9)]
+        repeats = len(own) - len(np.unique(own))
+        out.append(10 + 50 * int(digits[at + size] - digits[at]) / size + 30 * int(symbols[at + size] - symbols[at]) / size + 2.0 * repeats)
+    return out
+
+
+def sliding_perplexity(docs: DataFrame, size: int = 512, stride: int = 256) -> DataFrame:
+    """``doc_id, windows, mean_perplexity, max_perplexity`` over the windows of a text; nulls where none fits."""
+
+    @F.pandas_udf(T_.ArrayType(T_.DoubleType()))
+    def run(text: pd.Series) -> pd.Series:
+        return pd.Series([window_perplexities(t, size, stride) for t in text])
+
+    made = docs.select("doc_id", run(F.col("text").cast("string")).alias("p"))
+    mean = F.when(F.size("p") > 0, F.aggregate("p", F.lit(0.0), lambda s, x: s + x) / F.size("p"))
+    return made.select("doc_id", F.size("p").alias("windows"), F.round(mean, 6).alias("mean_perplexity"), F.round(F.array_max("p"), 6).alias("max_perplexity"))
+
+
+def sliding_sql(size: int = 512, stride: int = 256) -> str:
+    return f"""
+WITH b AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS b, hex(encode(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS low FROM documents WHERE strlen(text) >= {size}),
+w AS (SELECT doc_id, b[p + 1:p + {size}] AS b, substr(low, 2 * p + 1, {2 * size}) AS low, p FROM (SELECT *, unnest(range(0, len(b) - {size} + 1, {stride})) AS p FROM b)),
+v AS (SELECT doc_id, 10 + 50 * len(list_filter(b, lambda x: x BETWEEN '30' AND '39')) / CAST({size} AS DOUBLE)
+  + 30 * len(list_filter(b, lambda x: NOT (x BETWEEN '30' AND '39' OR x BETWEEN '41' AND '5A' OR x BETWEEN '61' AND '7A' OR x IN ('20', '09', '0A', '0B', '0C', '0D')))) / CAST({size} AS DOUBLE)
+  + 2.0 * ({size - 9} - len(list_distinct(list_transform(range(0, {size - 9}), lambda k: substr(low, 2 * k + 1, 20))))) AS perplexity FROM w),
+s AS (SELECT doc_id, CAST(count(*) AS INT) AS windows, round(avg(perplexity), 6) AS mean_perplexity, round(max(perplexity), 6) AS max_perplexity FROM v GROUP BY doc_id)
+SELECT doc_id, coalesce(windows, 0) AS windows, mean_perplexity, max_perplexity FROM documents LEFT JOIN s USING (doc_id)"""
+
+
 def _features(d: Dialect) -> list[dict]:
     plain = d.all("t", f"[^{BLANK}]+")
     return [

@@ -53,7 +53,7 @@ def detect(text: str | None, config: PiiConfig = PiiConfig(), patterns: dict | N
     safe = SAFE_DOMAINS | set(config.safe_domains)
     found = []
     for rank, (kind, pattern) in enumerate({**PATTERNS, **(patterns or {})}.items()):
-        if (kind == "GOVERNMENT_ID" and not patterns) or (kind in _SWITCH and kind == "PERSON_NAME" and not config.names) or (kind == "EMAIL" and "@" not in text):
+        if (kind == "GOVERNMENT_ID" and not config.government_ids) or (kind in _SWITCH and kind == "PERSON_NAME" and not config.names) or (kind == "EMAIL" and "@" not in text):
             continue
         for m in re.finditer(pattern, text, re.A):
             word, near = m.group(), text[max(0, m.start() - 50) : m.start() + 50]

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from quillmill.runtime import materialize
+
 RECORD = "id string, text string, url string, domain string, content_type string, source_ip string, metadata map<string,string>"
 
 
 def _numbered(lines: DataFrame) -> DataFrame:
-    """Consecutive numbers in reading order: counts by partition, then an offset for each, without one task for all rows."""
-    held = lines.select("value", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    sizes = held.groupBy("p").agg(F.count("*").alias("c"), F.min("m").alias("first"))
-    offset = sizes.select("p", F.coalesce(F.sum("c").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    place = F.row_number().over(W.partitionBy("p").orderBy("m")) - 1
-    return held.join(offset, "p").select((F.col("offset") + place).alias("doc_id"), F.col("value").alias("text"))
+    """Consecutive numbers in reading order: counts by partition, then an offset for each, without one task for all rows.
+
+    The lines are written once, with the place that their task gave them, so that both passes see the same partitions.
+    """
+    held = materialize(lines.select("value", F.monotonically_increasing_id().alias("m")).select("value", F.shiftright("m", 33).alias("p"), "m"))
+    sizes = held.groupBy("p").agg(F.count("*").alias("c"))
+    offset = sizes.select("p", F.coalesce(F.sum("c").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))  # a row for each split
+    return held.join(F.broadcast(offset), "p").select((F.col("offset") + F.col("m") - F.shiftleft("p", 33)).alias("doc_id"), F.col("value").alias("text"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -78,6 +82,21 @@ def read_question_paragraphs(spark: SparkSession, path: str) -> DataFrame:
     return p.select(F.col("p.context").alias("text")).unionByName(q.select(F.col("q.question").alias("text"))).unionByName(q.select(F.explode("q.answers.text").alias("text"))).where("text <> ''")
 
 
+def read_trivia(spark: SparkSession, path: str) -> DataFrame:
+    """``text`` of the questions and answers of a trivia file: ``{"Data": [{"Question", "Answer": {"Value"}}]}``."""
+    rows = spark.read.schema("Data array<struct<Question: string, Answer: struct<Value: string>>>").json(path, multiLine=True).select(F.explode("Data").alias("d"))
+    return rows.select(F.explode(F.array("d.Question", "d.Answer.Value")).alias("text")).where("text <> ''")
+
+
+def read_sentence_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """``text`` of all sentence columns (``sentence...``, ``question...``, ``premise``, ``hypothesis``) of a tab-separated file with a header."""
+    table = spark.read.csv(path, sep="\t", header=True, quote="")
+    names = [c for c in table.columns if c.lower().startswith(("sentence", "question")) or c.lower() in ("premise", "hypothesis")]
+    if not names:
+        raise ValueError(f"{path} has no sentence column")
+    return table.select(F.explode(F.array(*(F.col(f"`{c}`") for c in names))).alias("text")).where("text <> ''")
+
+
 def read_list(spark: SparkSession, path: str) -> DataFrame:
     """``entry, reason`` of lines ``entry`` or ``entry<TAB>reason``; comments are skipped."""
     lines = spark.read.text(path).where("value <> '' and not startswith(value, '#')")

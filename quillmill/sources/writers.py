@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -19,6 +20,36 @@ def write_documents(docs: DataFrame, path: str, kind: str = "txt", mode: str = "
         raise ValueError(f"no writer for {kind}")
 
 
+def write_json_array(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A JSON array in each file, one record a line, indented; an empty task writes an empty array."""
+
+    def lines(batches):
+        first = True
+        for batch in batches:
+            rows = [x if first and k == 0 else "," + x for k, x in enumerate(batch.column(0).to_pylist())]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array((["["] if first else []) + rows)], names=["value"])
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array(["[", "]"] if first else ["]"])], names=["value"])
+
+    docs.select(F.concat(F.lit("  "), F.to_json(F.struct("*"))).alias("value")).mapInArrow(lines, "value string").write.mode(mode).text(path)
+
+
+def write_text_blocks(extracted: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A block of title line, figures and text for each page of ``html.extract``."""
+    head = F.concat(F.lit("=== Document "), F.col("page_id").cast("string"), F.lit(" ==="))
+    url = F.when(F.coalesce("url", F.lit("")) != "", F.concat(F.lit("URL: "), "url"))
+    title = F.when(F.coalesce("extracted.title", F.lit("")) != "", F.concat(F.lit("Title: "), "extracted.title"))
+    length = F.concat(F.lit("Length: "), F.octet_length("extracted.text").cast("string"), F.lit(" characters"))
+    score = F.concat(F.lit("Quality Score: "), F.format_number("extracted.quality_score", 3))
+    extracted.select(F.concat_ws("\n", head, url, title, length, score, F.lit(""), "extracted.text", F.lit("")).alias("value")).write.mode(mode).text(path)
+
+
+def write_matches(matches: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """The n-gram matches of documents as quoted CSV."""
+    matches.select("doc_id", "position", "gram", "dataset").write.mode(mode).csv(path, header=True, quoteAll=True, escape='"')
+
+
 def write_results(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
     """``document`` and, where there is one, ``weight``."""
     columns = [F.col("text").alias("document"), *([F.col("weight")] if "weight" in docs.columns else [])]

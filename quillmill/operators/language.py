@@ -2,15 +2,24 @@
 
 The languages' lists are sets of twenty words; of equal scores the language that
 comes first in ``LANGUAGES`` wins. A plug-in model can take the place of the word
-lists (``detect_with``).
+lists (``detect_with``). Words are counted in Arrow batches, the twins count in SQL.
+
+Null counts as empty; repeated rows are detected alike; an empty table gives an empty one; columns
+named like one of the result are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import re
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from quillmill.config import LanguageConfig
 from quillmill.functions.dialect import BLANK, PUNCT, Dialect, Layers
+from quillmill.functions.measures import PUNCTUATION
 
 LANGUAGES = {
     "en": "a and are as at be for in is it of on or that the this to was with you",
@@ -55,20 +64,64 @@ def clean(d: Dialect, x: str) -> str:
 
 def _detect(d: Dialect, x: str) -> list[dict]:
     word = d.map(d.all(d.lower(x), f"[^{BLANK}]+"), "w", d.sub("w", f"[{PUNCT}]+", ""))
-    score = {f"s_{k}": d.ratio(d.size(d.keep("lw", "w", d.has_item(d.array([d.text(w) for w in v.split()]), "w"))), d.size("lw")) for k, v in LANGUAGES.items()}
+    count = {f"c_{k}": d.size(d.keep("lw", "w", d.has_item(d.array([d.text(w) for w in v.split()]), "w"))) for k, v in LANGUAGES.items()}
     best = "CASE " + " ".join(f"WHEN s_{k} = top_score THEN '{k}'" for k in LANGUAGES) + " END"
     return [
-        {"lw": word, "len_b": d.octets(x)}, score, {"top_score": f"greatest({', '.join(score)})"},
+        *([] if d.name == "spark" else [{"lw": word, "len_b": d.octets(x)}, {**count, "n_lw": d.size("lw")}]),
+        {f"s_{k}": d.ratio(f"c_{k}", "n_lw") for k in LANGUAGES}, {"top_score": f"greatest({', '.join(f's_{k}' for k in LANGUAGES)})"},
         {"language": f"CASE WHEN len_b < 10 OR top_score = 0 THEN 'unknown' ELSE {best} END", "confidence": f"CASE WHEN len_b < 10 THEN {d.number('0')} ELSE least({d.number('1')}, top_score * 2) END"},
     ]
 
 
-DETECT = Layers(lambda d: [{"t": "coalesce(text, '')"}, *_detect(d, "t")], ["doc_id", "language", "round(confidence, 6) AS confidence"])
+_KNOWN = {w: [k for k, v in LANGUAGES.items() if w in v.split()] for v in LANGUAGES.values() for w in v.split()}
+_OF_WORD = {w.encode(): tuple(list(LANGUAGES).index(k) for k in ks) for w, ks in _KNOWN.items()}
+_URL = re.compile(rb"https?://[^ \t\n\x0b\f\r]+|www[.][^ \t\n\x0b\f\r]+")
+_MAIL = re.compile(rb"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+[.][a-zA-Z]{2,}")
+
+
+def count_words(text: str | None, cleaned: bool) -> tuple:
+    """The bytes of the text, cleaned or as it is, whether it mixes scripts, its words, and how many of each language's list."""
+    b = (text or "").encode()
+    if cleaned:
+        if b"://" in b or b"www." in b:
+            b = _URL.sub(b" ", b)
+        pieces = b.split()
+        if b"@" in b:
+            pieces = b" ".join(_MAIL.sub(b" ", w) if b"@" in w else w for w in pieces).split()
+        b = b" ".join(pieces)
+    pieces = b.lower().split()
+    found = [0] * len(LANGUAGES)
+    for word, n in Counter(w.translate(None, PUNCTUATION) for w in pieces).items():
+        for k in _OF_WORD.get(word, ()):
+            found[k] += n
+    return len(b), not b.isascii() and any(c in _LETTERS for c in b), len(pieces), *found
+
+
+_LETTERS = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+_COUNTS = ("len_b", "mixed_b", "n_lw", *(f"c_{k}" for k in LANGUAGES))
+
+
+def _counted(cleaned: bool):
+    """A function that adds the counts of the text to a frame."""
+
+    @F.pandas_udf(T.StructType([T.StructField(n, T.BooleanType() if n == "mixed_b" else T.IntegerType()) for n in _COUNTS]))
+    def run(text: pd.Series) -> pd.DataFrame:
+        rows = [count_words(t, cleaned) for t in text]
+        return pd.DataFrame({n: np.array(c, bool if n == "mixed_b" else np.int32) for n, c in zip(_COUNTS, zip(*rows) if rows else [[]] * len(_COUNTS))})
+
+    def add(docs: DataFrame) -> DataFrame:
+        own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in _COUNTS]
+        return docs.select(*own, run(F.col("text").cast("string")).alias("__words")).select(*own, "__words.*")
+
+    return add
+
+
+DETECT = Layers(lambda d: [{"t": "coalesce(text, '')"}, *_detect(d, "t")], ["doc_id", "language", "round(confidence, 6) AS confidence"], prepare=_counted(False))
 
 
 def mixed_scripts(d: Dialect, x: str) -> str:
     """An ASCII letter and a byte from 0xC0: any accented Latin text counts."""
-    return f"({d.has(x, '[A-Za-z]')} AND {d.octets(x)} > {d.chars(x)})"
+    return "mixed_b" if d.name == "spark" else f"({d.has(x, '[A-Za-z]')} AND {d.octets(x)} > {d.chars(x)})"
 
 
 def language_filter(config: LanguageConfig = LanguageConfig()) -> Layers:
@@ -76,13 +129,13 @@ def language_filter(config: LanguageConfig = LanguageConfig()) -> Layers:
     wanted = ", ".join(f"'{t}'" for t in config.targets)
 
     def layers(d: Dialect) -> list[dict]:
-        out = [{"t": "coalesce(text, '')"}, {"x": clean(d, "t") if config.preprocess else "t"}, *_detect(d, "x")]
+        out = [{"t": "coalesce(text, '')"}, {} if d.name == "spark" else {"x": clean(d, "t") if config.preprocess else "t"}, *_detect(d, "x")]
         mixed = mixed_scripts(d, "x") if config.reject_mixed else "FALSE"
         keep = f"confidence >= {config.min_confidence}" + (f" AND language IN ({wanted})" if wanted else "")
         return [*out, {"decision": f"CASE WHEN {d.octets('t')} < {config.min_length} THEN 'too_short' WHEN {mixed} THEN 'mixed' WHEN {keep} THEN 'keep' ELSE 'reject' END"}]
 
     undetected = "decision IN ('too_short', 'mixed')"
-    return Layers(layers, ["doc_id", f"CASE WHEN {undetected} THEN NULL ELSE language END AS language", f"CASE WHEN {undetected} THEN NULL ELSE round(confidence, 6) END AS confidence", "decision"])
+    return Layers(layers, ["doc_id", f"CASE WHEN {undetected} THEN NULL ELSE language END AS language", f"CASE WHEN {undetected} THEN NULL ELSE round(confidence, 6) END AS confidence", "decision"], prepare=_counted(config.preprocess))
 
 
 FILTER = language_filter()

@@ -9,6 +9,9 @@ A match with an item is removed when it reaches
 * the coverage limit, ``item_coverage`` of the item's tokens (for short items),
   but never under ``min_match`` tokens.
 
+An item of fewer than ``min_match`` tokens is too common a phrase to be cut out of texts;
+a document that consists of nothing but such an item is dropped.
+
 A removed token goes together with the separators that follow it. A document of
 whose tokens ``doc_coverage`` or more were removed is dropped.
 
@@ -76,7 +79,8 @@ class Automaton:
     up the suffix links that satisfies its own need.
     """
 
-    def __init__(self, items: list[list[str]], limits: Limits):
+    def __init__(self, items: list[list[str]], limits: Limits, whole=()):
+        self.whole = frozenset(whole)  # short items, that only match as a document
         self.vocabulary: dict[str, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length, self.need = [-1], [0], [1 << 30]
@@ -148,6 +152,8 @@ class Automaton:
 
     def matches(self, tokens: list[str]) -> tuple[list[tuple[int, int]], int]:
         """Spans ``(first, after last)`` to remove, disjoint and in order, and the longest match among them."""
+        if self.whole and tuple(tokens) in self.whole:
+            return [(0, len(tokens))], len(tokens)
         if len(tokens) < self.least:
             return [], 0
         get = self.vocabulary.get
@@ -192,18 +198,19 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 def _automata(benchmark: DataFrame, limits: Limits) -> Iterator[Automaton]:
     """In parts: items are streamed to the driver, which holds one part of them at a time."""
-    items, size = [], 0
+    items, short, size = [], [], 0
     for row in benchmark.select("text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
         item = words(row[0])
-        if len(item) < limits.min_match:
-            continue
-        if items and size + len(item) > limits.max_automaton_tokens:
-            yield Automaton(items, limits)
-            items, size = [], 0
-        items.append(item)
+        if size and size + len(item) > limits.max_automaton_tokens:
+            yield Automaton(items, limits, short)
+            items, short, size = [], [], 0
+        if len(item) >= limits.min_match:
+            items.append(item)
+        elif item:
+            short.append(tuple(item))
         size += len(item)
-    if items:
-        yield Automaton(items, limits)
+    if items or short:
+        yield Automaton(items, limits, short)
 
 
 _REPORT = T.StructType([
@@ -326,6 +333,7 @@ WITH item AS (
   FROM (SELECT doc_id, t, n, unnest(range(1, len(t) - n + 2)) AS p FROM doc, (SELECT DISTINCT n FROM sized))
 ), hit AS (
   SELECT doc_id, item_id, d.n, d.p AS dp, i.p AS ip FROM doc_gram d JOIN item_gram i ON d.n = i.n AND d.gram = i.gram
+  UNION ALL SELECT doc_id, item_id, CAST(len(t) AS INTEGER), 1, 1 FROM doc JOIN item USING (t) WHERE len(t) BETWEEN 1 AND 7
 ), longest AS (
   SELECT doc_id, max(run) AS longest_match FROM (
     SELECT doc_id, n - 1 + count(*) AS run FROM (

@@ -256,6 +256,14 @@ def test_decontamination_edges(spark, table, empty):
     assert decontaminate.contamination(docs, bench, many).count() == 2
 
 
+def test_documents_that_are_a_short_item_go(spark):
+    bench = spark.createDataFrame([(1, "What is it, then?"), (2, "a long item of the test with its ten tokens here")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "what is it then"), (2, "So what is it then, he asked."), (3, "then"), (4, None)], "doc_id long, text string")
+    for limits in (decontaminate.Limits(), decontaminate.Limits(max_automaton_tokens=4)):
+        assert {r.doc_id for r in decontaminate.decontaminate(docs, bench, limits).collect()} == {2, 3, 4}
+        assert collect(decontaminate.contamination(docs, bench.limit(1), limits)) == [(1, 4, 4, 1, 4, True, "")]
+
+
 def test_a_split_benchmark_changes_no_result(spark):
     rng = random.Random(11)
     items = [words(rng, 40, 10**6) for _ in range(4)]

@@ -1,5 +1,6 @@
 """The corpus pipeline: every stage and the whole run against brute force, and on awkward tables."""
 
+import os
 import random
 import re
 
@@ -7,6 +8,7 @@ import pytest
 from test_documents import SCHEMA, brute_spans, collect, jaccard_groups, labelled, words
 
 import corpus_pipeline
+from quillmill import runtime
 from quillmill.llm import decontaminate, mixing, near, quality
 
 
@@ -109,7 +111,10 @@ def test_stages_against_brute_force(spark, corpus):
             assert {r[0] for r in kept} == shares and all(r in rows for r in kept)
         assert 0 < len(kept) <= len(rows), name
         docs = spark.createDataFrame(kept, SCHEMA)
+    shared = runtime.shared_dir(spark).removeprefix("file:")
+    there = set(os.listdir(shared))
     whole = corpus_pipeline.run(spark, folder)
+    assert len(set(os.listdir(shared)) - there) == 1  # the last stage's table alone
     assert whole.columns == [x.split()[0] for x in SCHEMA.split(", ")] and collect(whole) == collect(docs) and whole.count() < before
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmill.llm import decontaminate, lines, mixing, near, quality
-from quillmill.runtime import materialize, read_table
+from quillmill.runtime import drop, materialize, read_table, temporary
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +51,18 @@ STAGES = [
     ("source mixing", mix_sources),
 ]
 
-#: The classifier, a fitted model, is beyond SQL; the stages' operators are tested one by one against brute force.
+#: The classifier, a fitted model, is beyond SQL; every stage and the whole run are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The documents that all stages keep. What a stage wrote on its way goes when it is done, its result when the next one is."""
+    docs, last = read_table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with temporary(spark) as made:
+            docs = materialize(stage(spark, docs, sf_dir))
+            path = made.pop()
+        if last:
+            drop(spark, last)
+        last = path
     return docs

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -32,12 +34,35 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: Folders written within ``temporary``, by nesting.
+_WRITTEN: list[list[str]] = []
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a written table."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end what ``materialize`` wrote meanwhile, but for the folders that are taken out of the list."""
+    made: list[str] = []
+    _WRITTEN.append(made)
+    try:
+        yield made
+    finally:
+        _WRITTEN.remove(made)
+        for path in made:
+            drop(spark, path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts lineage and lets a frame be read several times without computing it
-    again; survives the loss of any executor. The folder goes with the session, the
-    shuffle files of the write go when it is done.
+    again; survives the loss of any executor. The folder goes with the session, or at the
+    end of ``temporary``; the shuffle files of the write go when it is done.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmill-{uuid.uuid4().hex}"
@@ -49,6 +74,8 @@ def materialize(df: DataFrame) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

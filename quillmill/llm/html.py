@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quillmill.llm.sample import least
 from quillmill.runtime import read_table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -314,7 +315,7 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: f
 
 def train(pages: DataFrame, train_pages: int = 400) -> Boosted | None:
     """Boosted trees from at most ``train_pages`` pages that mark their content."""
-    some = pages.where(r"html rlike '(?i)<(article|main)[\\s>]'").orderBy(F.xxhash64("page_id", "url"), "page_id").limit(train_pages)
+    some = least(pages.where(r"html rlike '(?i)<(article|main)[\\s>]'"), F.xxhash64("page_id", "url"), F.col("html").cast("string"), train_pages)
 
     def learn(batches):
         for batch in batches:
@@ -322,7 +323,7 @@ def train(pages: DataFrame, train_pages: int = 400) -> Boosted | None:
             inside, usable = forest.marked()
             yield pa.RecordBatch.from_arrays([pa.array([forest.features[usable].tobytes()], pa.binary()), pa.array([inside[usable].tobytes()], pa.binary())], names=["x", "y"])
 
-    rows = some.select(F.col("html").cast("string")).mapInArrow(learn, "x binary, y binary").collect()
+    rows = some.mapInArrow(learn, "x binary, y binary").collect()
     x = np.concatenate([np.frombuffer(r["x"], np.float32) for r in rows] or [np.zeros(0, np.float32)]).reshape(-1, N_FEATURES)
     y = np.concatenate([np.frombuffer(r["y"], bool) for r in rows] or [np.zeros(0, bool)])
     return boost(x, y.astype(float)) if 0 < y.sum() < len(y) else None

@@ -36,6 +36,7 @@ import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quillmill.llm.sample import least
 from quillmill.runtime import materialize, read_table
 
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -219,8 +220,8 @@ def train_dictionary(pages: DataFrame, samples: int = 300, sample_bytes: int = 6
 
     A setting of the encoder: it bounds what the driver holds and changes how small archives get, never what is read back.
     """
-    some = pages.where("html is not null and length(html) > 0").orderBy(F.xxhash64("page_id", "url"), "page_id").limit(samples)
-    texts = [r[0].encode() for r in some.select(F.substring("html", 1, sample_bytes)).collect()]
+    some = least(pages.where("html is not null and length(html) > 0"), F.xxhash64("page_id", "url"), F.substring("html", 1, sample_bytes), samples)
+    texts = [r[0].encode() for r in some.collect()]
     try:
         return zstd.train_dictionary(size, texts).as_bytes() if len(texts) >= 8 else None
     except zstd.ZstdError:

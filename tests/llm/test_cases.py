@@ -181,6 +181,18 @@ def test_the_archive_query_reads_null_and_negative_ids(spark, tmp_path):
     assert {(r.page_id, r.html) for r in warc.query(spark, str(tmp_path)).collect()} == {(None, "a"), (-5, ""), (7, "")}
 
 
+def test_samples_have_the_least_keys(spark):
+    from pyspark.sql import functions as F
+
+    from quillmill.llm.sample import least
+
+    rows = [(k % 50, f"v{k:03}") for k in range(200)] + [(0, "v000")] * 30 + [(None, "n")]
+    df = spark.createDataFrame(rows, "k long, v string").where("k is not null").repartition(6)
+    got = [r.value for r in least(df, F.col("k") % 50, F.col("v"), 60).collect()]
+    assert got == [f"v{k:03}" for k in range(len(got))] and 1 <= len(got) <= 50
+    assert least(df.limit(0), F.col("k"), F.col("v"), 5).count() == 0
+
+
 # pages
 
 

@@ -1,72 +1,65 @@
-"""Substring deduplication with compact windows.
-
-A text is its sequence of shingles of five tokens. For each of ``hashes`` hash
-functions, a compact window ``(c, l, r)`` says that ``c`` has the least hash of every
-subsequence that lies between ``l`` and ``r`` and holds ``c``: a node of the Cartesian
-tree over the hashes. Only windows as wide as a passage are needed, about two for
-each passage length of text. They are cut from sliding minima: a node that wide
-is the least of some stretch of that width, and the nearest smaller nodes on its
-either side are such nodes too, so the tree is built over these few alone.
-
-1. The functions make groups of ``agree``. The windows of a group are joined as
-   intervals: where a stretch of passage width lies in one window of each, their least
-   hashes together are its signature, and the windows' intersection is where it may lie.
-2. Signatures meet by value. Those of one document alone go; of the others every
-   one is joined with the first of its value, which is linear. The intersections of a
-   pair of documents that overlap become one stretch of both.
-3. The shingles of these stretches decide. A window of passage width is a
-   repetition if ``share`` of its shingles or more are in the other stretch.
-4. A signature stays open if its least shingles are in no passage found so far, but a whole
-   passage still fits between those found. Most open ones are of phrases shorter
-   than a passage that many documents share. So the shingles around all signatures
-   of an open value are counted by document: where no window of passage width has
-   ``share`` of its shingles in earlier documents, none of these can repeat it, and
-   the signature is closed. What is left is joined with all earlier ones of its value,
-   and steps 2 and 3 are taken for these. No list is cut.
+"""Substring deduplication: every window of a passage's width that an earlier document repeats, exactly.
+
+A text is its sequence of shingles of five tokens. A window of ``width`` shingles is a
+repetition if ``share`` of them or more (``need``) are in one document with a lesser ``doc_id``,
+wherever they are in it. What is sought for each window is the least such document.
+
+1. Documents are written in blocks of about two megabytes. A block sends its distinct
+   shingles, each with the least document of the block that holds it, to buckets of the
+   hash; a bucket answers with the least document of the corpus and the number of documents,
+   where that is one from before the block's. So a shingle of every document costs a row for
+   each block, and a window with under ``need`` shingles of earlier documents is done with.
+2. The ``need``-th of a window's least documents in order is the first that can repeat it, as any before it
+   lacks too many. If ``need`` of the shingles have it as their least, it does: this
+   settles most windows. The others are compared as classes of equal windows, of which only the first
+   document's is sought; the others have the same answer, or that document.
+3. Their first document that can repeat them is tried.
+4. What is still open is sought among all documents: one that repeats a window
+   of ``m`` shingles of earlier documents lacks ``m - need`` of them at most, so it holds one of any
+   ``m - need + 1``, and the rarest are looked up. Each document that has one is compared.
+
+No list is cut and no window is sampled. Steps 3 and 4 read of every document only shingles that are
+in an open window, told by a bitmap of bounded size, which lets others pass but loses none.
 
 The result has, for every document, the token spans that repeat passages of
 documents with a lesser ``doc_id``, merged where they touch, each with the least
 document that repeats a part of it. So it has at most one row for each passage length of
 text, however many documents share a passage. Repetition within a document doesn't count.
 
-Signatures are counted with map-side combine and meet in joins that adaptive
-execution splits, so that no task holds a hot one. Copies are joined with one earlier
-copy each: a passage in thousands of documents costs as much as thousands of passages.
-
 Defined cases: a null or empty text, and one of fewer than ``passage`` tokens, has no
 passage; a row without ``doc_id`` is left out; rows that share a ``doc_id`` are one document
 of several texts and aren't compared with each other; an empty table gives an empty
-table; other columns aren't part of the result.
+table; other columns aren't part of the result. Equal shingles are told by 63 bits of their hashes,
+in step 1 by 48 and those of the bucket, equal windows by 64.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
 from quillmill.llm import tokens
-from quillmill.runtime import broadcast_if_small, materialize, read_table
+from quillmill.runtime import materialize, read_table
 
 _TOP = np.uint64(1 << 63)
+#: Text of a block and of a bucket, in bytes; bits of the bitmap at most.
+_BLOCK, _BUCKET, _BITS = 2 << 20, 24 << 20, 27
 
 
 @dataclass(frozen=True)
 class PassageConfig:
     passage: int = 50
     shingle: int = 5
-    hashes: int = 6
-    agree: int = 2
     share: float = 0.8
 
     def __post_init__(self):
-        if not (1 <= self.shingle < self.passage and 1 <= self.agree <= self.hashes and self.hashes % self.agree == 0 and 0 < self.share <= 1):
-            raise ValueError("shingle < passage, agree divides hashes and 0 < share <= 1 must hold")
-        if self.width > 256:
-            raise ValueError("a passage has at most 256 shingles")
+        if not (1 <= self.shingle < self.passage and 0 < self.share <= 1):
+            raise ValueError("shingle < passage and 0 < share <= 1 must hold")
 
     @property
     def width(self) -> int:
@@ -113,16 +106,6 @@ def compact_windows(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndar
     return c[real], lo[real], hi[real], number[np.cumsum(begins) - 1]
 
 
-def joined_windows(windows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Window numbers, one row for each function, of all stretches that lie in one window of each, with the windows' intersections ``l, r``."""
-    of = np.stack([w[3] for w in windows])
-    change = np.concatenate([[True], (of[:, 1:] != of[:, :-1]).any(0)]) if of.shape[1] else np.zeros(0, bool)
-    pick = of[:, change & (of >= 0).all(0)]
-    lo = np.max([w[1][k] for w, k in zip(windows, pick)], 0) if pick.shape[1] else np.zeros(0, np.int64)
-    hi = np.min([w[2][k] for w, k in zip(windows, pick)], 0) if pick.shape[1] else np.zeros(0, np.int64)
-    return pick, lo, hi
-
-
 def shingle_rows(column: pa.Array, width: int):
     """For each block of rows: first row, shingle hashes at every token (zero where none of the row's begins), row of each place, place in the row."""
     for row, end, data, starts in tokens.blocks(column):
@@ -137,74 +120,6 @@ def shingle_rows(column: pa.Array, width: int):
         yield row, values, of, np.arange(len(token)) - cut[of]
 
 
-def signatures(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame:
-    """``value, doc, at``: the signatures, and packed into ``at`` the place of the first of their least shingles with the distances to the last of these and to the ends of their stretch.
-
-    The stretch is what passages that hold all these shingles can reach: under a passage to either side.
-    """
-
-    def run(batches):
-        for batch in batches:
-            ids = np.array(batch.column(0), np.int64)
-            for row, values, of, place in shingle_rows(batch.column(1), config.shingle):
-                out = []
-                for group in range(0, config.hashes, config.agree):
-                    windows, hashed = [], []
-                    for h in range(group, group + config.agree):
-                        v = tokens.mix(values ^ np.uint64(0x9E3779B97F4A7C15 * (h + 1) & 0xFFFFFFFFFFFFFFFF))
-                        hashed.append(np.where(values == 0, np.uint64(0), v | np.uint64(1)))
-                        windows.append(compact_windows(hashed[-1], config.width))
-                    # the padding of compact_windows shifts stretches alike for every function
-                    pick, lo, hi = joined_windows(windows)
-                    at = np.stack([w[0][k] for w, k in zip(windows, pick)])
-                    value = np.full(at.shape[1], group + 1, np.uint64)
-                    for v, c in zip(hashed, at):
-                        value = tokens.mix(value * np.uint64(0xD6E8FEB86659FD93) + v[c])
-                    first, last = at.min(0), at.max(0)
-                    lo, hi = np.maximum(lo, last - config.width + 1), np.minimum(hi, first + config.width - 1)
-                    out.append((value.view(np.int64), ids[row + of[first]], place[first] << 24 | (first - lo) << 16 | (last - first) << 8 | (hi - first)))
-                value, doc, at = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(doc), pa.array(at)], names=["value", "doc", "at"])
-
-    narrow = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return narrow.mapInArrow(run, "value long, doc long, at long")
-
-
-_FIRST, _LAST = "shiftright(at, 24)", "(shiftright(at, 24) + (shiftright(at, 8) & 255))"
-_LOW, _HIGH = "(shiftright(at, 24) - (shiftright(at, 16) & 255))", "(shiftright(at, 24) + (at & 255))"
-_ENDS = f"(shiftleft({_LOW}, 32) | {_HIGH})"
-
-
-def _hulls(ends: np.ndarray) -> np.ndarray:
-    """Columns ``x, y, u, v``: stretches whose first intervals overlap become one."""
-    if not ends.shape[1]:
-        return ends
-    x, y, u, v = ends[:, np.lexsort((ends[1], ends[0]))]
-    first = np.flatnonzero(np.concatenate([[True], x[1:] > np.maximum.accumulate(y)[:-1]]))
-    return np.stack([x[first], np.maximum.reduceat(y, first), np.minimum.reduceat(u, first), np.maximum.reduceat(v, first)])
-
-
-def _regions(joined: DataFrame, config: PassageConfig) -> DataFrame:
-    """``a, alo, ahi, b, blo, bhi`` from rows ``a, b, alr, blr``: stretches that overlap as one, and two passages more to either side, so that a passage is found whole if any part of it has a signature."""
-    more = 2 * config.width
-    pairs = joined.groupBy("a", "b").agg(F.collect_set(F.struct("alr", "blr")).alias("w"))
-    low = (1 << 32) - 1
-
-    def run(batches):
-        for batch in batches:
-            lists = batch.column(2)
-            alr, blr = (np.array(x) for x in lists.flatten().flatten())
-            ends = np.stack([alr >> 32, alr & low, blr >> 32, blr & low])
-            cut = np.concatenate([[0], np.cumsum(np.array(lists.value_lengths()))]).astype(np.int64)
-            rows = []
-            for k, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                rows += [(a, max(0, x - more), y + more, b, max(0, u - more), v + more) for x, y, u, v in _hulls(ends[:, cut[k] : cut[k + 1]]).T.tolist()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["a", "alo", "ahi", "b", "blo", "bhi"])
-
-    return pairs.mapInArrow(run, "a long, alo long, ahi long, b long, blo long, bhi long")
-
-
 def repeated_spans(a: np.ndarray, b: np.ndarray, width: int, need: int) -> list[tuple[int, int]]:
     """Spans ``[first, after last)`` of ``a`` covered by windows of ``width`` of which ``need`` or more are in ``b``."""
     if len(a) < width:
@@ -221,103 +136,296 @@ def repeated_spans(a: np.ndarray, b: np.ndarray, width: int, need: int) -> list[
     return out
 
 
-def _slices(docs: DataFrame, spans: DataFrame, config: PassageConfig, make, schema: str) -> DataFrame:
-    """``make(id, lo, hi, the shingles from lo to hi)`` for every stretch of ``spans(id, spans)``, each packed as ``lo << 32 | hi``."""
-    asked = broadcast_if_small(materialize(spans))
-    kinds = [pa.binary() if x.endswith("binary") else pa.int64() for x in schema.split(", ")]
+def _blocks(docs: DataFrame) -> DataFrame:
+    """``block, size, data``: documents in blocks, as compressed Arrow streams."""
+
+    def pack(number: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+            to.write_table(pa.Table.from_batches(parts).combine_chunks())
+        block = TaskContext.get().partitionId() << 24 | number
+        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sum(x.nbytes for x in parts)]), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["block", "size", "data"])
 
     def run(batches):
+        parts, size, number = [], 0, 0
+        for batch in batches:
+            _, offsets = tokens.text_bytes(batch.column(1))
+            row = 0
+            while row < len(batch):
+                end = min(len(batch), max(row + 1, int(np.searchsorted(offsets, offsets[row] + _BLOCK - size, "right")) - 1))
+                parts.append(batch.slice(row, end - row))
+                size += int(offsets[end] - offsets[row])
+                row = end
+                if size >= _BLOCK or row < len(batch):
+                    yield pack(number, parts)
+                    parts, size, number = [], 0, number + 1
+        if parts:
+            yield pack(number, parts)
+
+    narrow = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return narrow.mapInArrow(run, "block long, size long, data binary")
+
+
+class _Block:
+    """The shingles of a block: ``values`` and ``doc`` at every token, ``row`` and ``place`` of the token, and the distinct ones by bucket and document."""
+
+    def __init__(self, data: bytes, config: PassageConfig, bits: int | None = None):
+        table = pa.ipc.open_stream(data).read_all()
+        ids = np.asarray(table.column(0).combine_chunks(), np.int64)
+        found = [(v, row + of, place) for row, v, of, place in shingle_rows(table.column(1).combine_chunks(), config.shingle)]
+        self.values, self.row, self.place = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.doc = ids[self.row]
+        if bits is None:
+            return
+        at = np.flatnonzero(self.values)
+        by = at[np.argsort(self.doc[at], kind="stable")]
+        value, first, inverse, self.count = np.unique(self.values[by], return_index=True, return_inverse=True, return_counts=True)
+        self.least = self.doc[by[first]]
+        bucket = (value >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.lexsort((self.least, bucket))
+        self.value, self.least, self.count = value[order], self.least[order], self.count[order]
+        self.cut = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.number = np.full(len(self.values), -1)
+        self.number[by] = rank[inverse]
+
+
+def _binaries(columns: list, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if len(c) and isinstance(c[0], bytes) else pa.int64()) for c in columns], names=names)
+
+
+def _answers(blocks: DataFrame, bits: int, config: PassageConfig) -> DataFrame:
+    """``block, bucket, at, least, many``: of the distinct shingles that a block sent to a bucket, the numbers of those that earlier documents hold, the least of these documents and how many there are."""
+
+    def ask(batches):
         for batch in batches:
-            ids, stretches = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for row, values, of, _ in shingle_rows(batch.column(1), config.shingle):
-                cut = np.searchsorted(of, np.arange(of[-1] + 2))
-                parts = []
-                for k in range(int(of[-1]) + 1):
-                    own = values[cut[k] : max(cut[k], cut[k + 1] - config.shingle + 1)]
-                    parts += [make(ids[row + k], lo, hi, own[lo : hi + 1]) for lo, hi in ((s >> 32, s & 0xFFFFFFFF) for s in stretches[row + k]) if lo < len(own)]
-                if parts:
-                    columns = [np.concatenate(c) if isinstance(c[0], np.ndarray) else c for c in zip(*parts)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in schema.split(", ")])
-
-    narrow = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return narrow.join(asked, "id").select("id", "text", "spans").mapInArrow(run, schema)
-
-
-def _verified(found: DataFrame, docs: DataFrame, config: PassageConfig) -> DataFrame:
-    """``a, b, first, after``: the spans of shingles of ``a`` that ``b`` repeats."""
-    asked = found.select(F.col("a").alias("id"), F.col("alo").alias("lo"), F.col("ahi").alias("hi")).unionByName(found.select(F.col("b").alias("id"), F.col("blo").alias("lo"), F.col("bhi").alias("hi")))
-    asked = asked.groupBy("id").agg(F.collect_set(F.expr("shiftleft(lo, 32) | hi")).alias("spans"))
-    cut = materialize(_slices(docs, asked, config, lambda i, lo, hi, own: (i, lo, hi, own.tobytes()), "id long, lo long, hi long, s binary"))
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                b = _Block(data.as_buffer(), config, bits)
+                key = b.value << np.uint64(bits) >> np.uint64(16)
+                high, low, many = (key >> np.uint64(16)).astype(np.uint32), key.astype(np.uint16), np.minimum(b.count - 1, 65535).astype(np.uint16)
+                full = np.flatnonzero(np.diff(b.cut))
+                for some in np.array_split(full, max(1, len(full) // 64)):
+                    rows = [(int(k), block, *(x[b.cut[k] : b.cut[k + 1]].tobytes() for x in (high, low, b.least, many))) for k in some]
+                    if rows:
+                        yield _binaries(list(zip(*rows)), ["bucket", "block", "high", "low", "doc", "many"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        def column(name, kind):
+            return np.frombuffer(b"".join(x.as_buffer() for x in table.column(name)), kind)
+
+        key = column("high", np.uint32).astype(np.uint64) << np.uint64(16) | column("low", np.uint16)
+        doc = column("doc", np.int64)
+        cut = np.concatenate([[0], np.cumsum([len(x.as_buffer()) // 8 for x in table.column("doc")])])
+        order = np.argsort(key)
+        key = key[order]
+        begins = np.concatenate([[True], key[1:] != key[:-1]])
+        first = np.flatnonzero(begins)
+        del key
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(begins) - 1
+        least = np.minimum.reduceat(doc[order], first)
+        many = np.minimum(np.add.reduceat(column("many", np.uint16)[order].astype(np.int64) + 1, first), (1 << 32) - 1).astype(np.uint32)
+        hit = np.flatnonzero(least[of] < doc)
+        ends, rows = np.searchsorted(hit, cut), []
+        bucket = table.column("bucket")[0].as_py()
+        for k, block in enumerate(table.column("block").to_pylist()):
+            x = hit[ends[k] : ends[k + 1]]
+            if len(x):
+                rows.append((block, bucket, (x - cut[k]).astype(np.uint32).tobytes(), least[of[x]].tobytes(), many[of[x]].tobytes()))
+        names = ["block", "bucket", "at", "least", "many"]
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 3]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=names)
+
+    asked = blocks.select("block", "data").mapInArrow(ask, "bucket long, block long, high binary, low binary, doc binary, many binary")
+    return asked.groupBy("bucket").applyInArrow(answer, "block long, bucket long, at binary, least binary, many binary")
+
+
+def _runs(places: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending places, the first and last numbers of runs of neighbours that agree in ``same``."""
+    if not len(places):
+        return places, places
+    new = np.diff(places) != 1
+    for x in same:
+        new |= x[1:] != x[:-1]
+    return np.concatenate([[0], np.flatnonzero(new) + 1]), np.concatenate([np.flatnonzero(new), [len(places) - 1]])
+
+
+def _windows(values: np.ndarray, k: np.ndarray, width: int) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(values, width)[k]
+
+
+_SETTLED = "run long, a long, first long, after long, b long, s binary, least binary, many binary, same binary"
+
+
+def _settled(blocks: DataFrame, answers: DataFrame, bits: int, config: PassageConfig) -> DataFrame:
+    """Spans ``a, first, after, b``, and open runs of windows: ``run, a, first`` and, for all places, shingles (zero where no earlier document has it), their least documents and how many hold them, and a digest of every window."""
     width, need = config.width, config.need
+    odd = tokens.mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        for data in left.column("data"):
+            b = _Block(data.as_buffer(), config, bits)
+            if len(b.values) < width:
+                continue
+            known, many = b.least.copy(), b.count.copy()
+            for bucket, at, least, count in zip(right.column("bucket").to_pylist(), *(right.column(c) for c in ("at", "least", "many"))):
+                x = b.cut[bucket] + np.frombuffer(at.as_buffer(), np.uint32)
+                known[x], many[x] = np.frombuffer(least.as_buffer(), np.int64), np.frombuffer(count.as_buffer(), np.uint32)
+            if not len(known):
+                continue
+            least, many = known[b.number], many[b.number].astype(np.uint32)
+            shared = (b.values != 0) & (least < b.doc)
+            least[~shared] = np.iinfo(np.int64).max
+            total = np.concatenate([[0], np.cumsum(shared)])
+            last = np.arange(width - 1, len(b.values))
+            k = np.flatnonzero((total[width:] - total[:-width] >= need) & (b.values[last] != 0) & (b.row[last] == b.row[: len(last)]))
+            source, sure = np.zeros(len(k), np.int64), np.zeros(len(k), bool)
+            for c in range(0, len(k), 1 << 15):
+                w = _windows(least, k[c : c + (1 << 15)], width)
+                x = np.partition(w, need - 1, axis=1)[:, need - 1]
+                source[c : c + len(x)], sure[c : c + len(x)] = x, (w == x[:, None]).sum(1) >= need
+            block = left.column("block")[0].as_py()
+            for x, y in zip(*_runs(k[sure], source[sure], b.row[k[sure]])):
+                u, v = k[sure][x], k[sure][y]
+                rows.append((None, b.doc[u], b.place[u], b.place[v] + width, source[sure][x], None, None, None, None))
+            open_ = k[~sure]
+            own = np.where(shared, b.values, np.uint64(0))
+            for number, (x, y) in enumerate(zip(*_runs(open_, b.row[open_]))):
+                u, v = int(open_[x]), int(open_[y])
+                same = np.concatenate([tokens.mix(_windows(b.values, np.arange(c, min(v + 1, c + 8192)), width) @ odd) for c in range(u, v + 1, 8192)])
+                z = slice(u, v + width)
+                rows.append((block << 22 | number, b.doc[u], b.place[u], b.place[v] + width, None, own[z].tobytes(), least[z].tobytes(), many[z].tobytes(), same.tobytes()))
+        kinds = [*[pa.int64()] * 5, *[pa.binary()] * 4]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, kinds)], names=[x.split()[0] for x in _SETTLED.split(", ")])
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _SETTLED)
+
+
+def _bitmap(hashes: DataFrame, column: str) -> np.ndarray:
+    """Bits of the hashes in a binary column, of a power of two not over ``1 << _BITS``."""
+    n = hashes.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    bits = min(_BITS, max(16, (2 * n).bit_length()))
 
-    def check(batches):
+    def run(batches):
+        out = np.zeros(1 << bits, bool)
         for batch in batches:
-            a, lo, b = (batch.column(k).to_pylist() for k in range(3))
-            rows = []
-            for k, (u, v) in enumerate(zip(batch.column(3), batch.column(4))):
-                x, y = np.frombuffer(u.as_buffer(), np.uint64), np.frombuffer(v.as_buffer(), np.uint64)
-                rows += [(a[k], b[k], lo[k] + s, lo[k] + e) for s, e in repeated_spans(x, y, width, need)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["a", "b", "first", "after"])
-
-    u = cut.select(F.col("id").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.col("s").alias("u"))
-    v = cut.select(F.col("id").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.col("s").alias("v"))
-    both = found.join(v, ["b", "blo", "bhi"]).join(u, ["a", "alo", "ahi"])
-    return both.select("a", "alo", "b", "u", "v").mapInArrow(check, "a long, b long, first long, after long")
-
-
-#: Whether a signature's least shingles are in a stretch of passage width that no found passage covers, as far as its windows go.
-_FREE = f"""spans IS NULL OR (NOT exists(spans, s -> s.first <= {_LAST} AND {_FIRST} < s.after) AND
-  least({_HIGH}, coalesce(array_min(transform(filter(spans, s -> s.first > {_LAST}), s -> s.first)), 4294967296) - 1)
-  - greatest({_LOW}, coalesce(array_max(transform(filter(spans, s -> s.after <= {_FIRST}), s -> s.after)), 0)) + 1 >= {{width}})"""
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _merge(spans: pd.Series) -> pd.Series:
-    """Packed stretches, those that overlap or touch as one."""
-    out = []
-    for x in spans:
-        x = np.sort(np.asarray(x, np.int64))
-        lo, hi = x >> 32, np.maximum.accumulate(x & 0xFFFFFFFF)
-        first = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1] + 1]))
-        out.append(lo[first] << 32 | np.concatenate([hi[first[1:] - 1], hi[-1:]]))
-    return pd.Series(out)
-
-
-def _repeatable(free: DataFrame, listed: DataFrame, docs: DataFrame, config: PassageConfig) -> DataFrame:
-    """The rows ``value, doc, at`` of ``free`` that have a window of which enough shingles are in earlier documents that share any of these values."""
-    around = listed.join(free.select("value").distinct(), "value", "left_semi").select(F.col("doc").alias("id"), F.expr(_LOW).alias("lo"), F.expr(_HIGH).alias("hi"))
-    asked = around.groupBy("id").agg(_merge(F.collect_set(F.expr("shiftleft(lo, 32) | hi"))).alias("spans"))
-    each = _slices(docs, asked, config, lambda i, lo, hi, own: (np.full(len(own), i), np.arange(lo, lo + len(own)), own.view(np.int64)), "id long, place long, h long")
-    each = materialize(each)
-    before = each.groupBy("h").agg(F.min("id").alias("least"))
-    shared = each.join(before, "h").where("least < id").groupBy("id").agg(F.collect_list("place").alias("places")).withColumnRenamed("id", "doc")
+            for x in batch.column(0):
+                out[(tokens.mix(np.frombuffer(x.as_buffer(), np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)] = True
+        packed = np.packbits(out)
+        for k, part in enumerate(np.split(packed, max(1, len(packed) >> 16))):
+            if part.any():
+                yield _binaries([[k], [part.tobytes()]], ["k", "part"])
+
+    found = np.zeros(1 << bits - 3, np.uint8)
+    size = min(len(found), 1 << 16)
+    for k, part in hashes.select(column).coalesce(hashes.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "k long, part binary").toLocalIterator():
+        found[k * size : (k + 1) * size] |= np.frombuffer(part, np.uint8)
+    return found
+
+
+def _passing(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    x = (tokens.mix(values) >> np.uint64(64 - (len(bitmap) * 8).bit_length() + 1)).astype(np.int64)
+    return (bitmap[x >> 3] >> (7 - (x & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _holdings(blocks: DataFrame, bitmap, config: PassageConfig) -> DataFrame:
+    """``b, held``: the shingles of every document that pass the bitmap."""
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column(0):
+                x = _Block(data.as_buffer(), config)
+                at = np.flatnonzero(x.values)
+                at = at[_passing(bitmap.value, x.values[at])]
+                by = at[np.lexsort((x.values[at], x.doc[at]))]
+                doc, value = x.doc[by], x.values[by].view(np.int64)
+                new = np.ones(len(by), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
+                doc, value = doc[new], value[new]
+                first = np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1))
+                if len(first):
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)), pa.int32()), pa.array(value))
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[first]), lists], names=["b", "held"])
+
+    made = blocks.select("data").mapInArrow(run, "b long, held array<long>")
+    return made.groupBy("b").agg(F.flatten(F.collect_list("held")).alias("held"))
+
+
+def _compared(pairs: DataFrame, open_: DataFrame, held: DataFrame, config: PassageConfig) -> DataFrame:
+    """``run, k, b``: of the windows that a document of ``pairs(run, b)`` repeats, by number in the run, the least such document."""
+    width, need = config.width, config.need
+
+    def run(batches):
+        for batch in batches:
+            for r, b, s, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                own = np.frombuffer(s.as_buffer(), np.uint64)
+                total = np.concatenate([[0], np.cumsum(np.isin(own, np.asarray(h.values).view(np.uint64)))])
+                k = np.flatnonzero(total[width:] - total[:-width] >= need)
+                if len(k):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), r)), pa.array(k), pa.array(np.full(len(k), b))], names=["run", "k", "b"])
+
+    both = pairs.join(held, "b").join(open_.select("run", "s"), "run").select("run", "b", "s", "held")
+    return both.mapInArrow(run, "run long, k long, b long").groupBy("run", "k").agg(F.min("b").alias("b"))
+
+
+def _sought(asked: DataFrame, open_: DataFrame, make, schema: str) -> DataFrame:
+    """``make(run, a, numbers of the asked windows, shingles, least documents, how many)`` for every run that has windows in ``asked(run, k)``."""
+
+    def run(batches):
+        for batch in batches:
+            parts = []
+            for r, a, k, *x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:]):
+                s, least, many = (np.frombuffer(y.as_buffer(), t) for y, t in zip(x, (np.uint64, np.int64, np.uint32)))
+                parts.append(make(r, a, np.sort(np.asarray(k.values)), s, least, many))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=[x.split()[0] for x in schema.split(", ")])
+
+    lists = asked.groupBy("run").agg(F.collect_list("k").alias("ks"))
+    return open_.join(lists, "run").select("run", "a", "ks", "s", "least", "many").mapInArrow(run, schema)
+
+
+def _open_spans(open_: DataFrame, blocks: DataFrame, config: PassageConfig) -> DataFrame:
+    """``a, first, after, b`` of the windows of open runs that an earlier document repeats."""
     width, need = config.width, config.need
 
-    def test(batches):
+    def digests(batches):
         for batch in batches:
-            docs_, rows, places = (batch.column(k) for k in range(3))
-            for doc, own, at in zip(docs_.to_pylist(), rows, places):
-                value, packed = (np.asarray(own.values.field(k)) for k in range(2))
-                has = np.zeros(int(max((packed >> 24).max() + 257, np.asarray(at.values).max() + 1)) + 1, np.int64)
-                has[np.asarray(at.values) + 1] = 1
-                total = np.cumsum(has)
-                first, lo, hi = packed >> 24, (packed >> 24) - (packed >> 16 & 255), (packed >> 24) + (packed & 255)
-                keep = np.zeros(len(value), bool)
-                for k in range(width):
-                    keep |= (lo + k + width - 1 <= hi) & (total[np.minimum(lo + k + width, len(total) - 1)] - total[np.minimum(lo + k, len(total) - 1)] >= need)
-                if keep.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(value[keep]), pa.array(np.full(keep.sum(), doc)), pa.array(packed[keep])], names=["value", "doc", "at"])
-
-    by_doc = free.groupBy("doc").agg(F.collect_list(F.struct("value", "at")).alias("rows"))
-    return by_doc.join(shared, "doc").select("doc", "rows", "places").mapInArrow(test, "value long, doc long, at long")
-
-
-def _paired(x: DataFrame, y: DataFrame, on: str) -> DataFrame:
-    """``a, b, alr, blr`` of the rows of one value."""
-    x = x.select(F.col("doc").alias("a"), F.col("value"), F.expr(_ENDS).alias("alr"))
-    y = y.select(F.col("doc").alias("b"), F.col("value").alias("v"), F.expr(_ENDS).alias("blr"))
-    return x.join(y, F.expr(f"value = v AND {on}")).select("a", "b", "alr", "blr")
+            for r, a, first, x in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+                same = np.frombuffer(x.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(same), pa.array(np.full(len(same), a)), pa.array(np.full(len(same), r)), pa.array(np.arange(len(same))), pa.array(first + np.arange(len(same)))], names=["same", "a", "run", "k", "first"])
+
+    every = open_.select("run", "a", "first", "same").mapInArrow(digests, "same long, a long, run long, k long, first long")
+    heads = materialize(every.groupBy("same").agg(F.min(F.struct("a", "run", "k")).alias("x")).select("same", F.col("x.a").alias("head"), "x.run", "x.k"))
+
+    def nearest(r, a, k, s, least, many):
+        out = np.unique(np.concatenate([np.partition(_windows(least, k[c : c + (1 << 14)], width), need - 1, axis=1)[:, need - 1] for c in range(0, len(k), 1 << 14)]))
+        return np.full(len(out), r), out
+
+    def rarest(r, a, k, s, least, many):
+        order = np.where(s != 0, many.astype(np.int64), 1 << 40)
+        pick = np.zeros(len(s), bool)
+        for c in range(0, len(k), 1 << 14):
+            part = k[c : c + (1 << 14)]
+            w = _windows(order, part, width)
+            by = np.argsort(w, axis=1, kind="stable")
+            spare = (w < 1 << 40).sum(1) - need + 1
+            chosen = np.arange(width) < spare[:, None]
+            pick[(part[:, None] + by)[chosen]] = True
+        out = np.unique(s[pick]).view(np.int64)
+        return np.full(len(out), r), np.full(len(out), a), out
+
+    sc = open_.sparkSession.sparkContext
+    bitmap = sc.broadcast(_bitmap(open_, "s"))
+    held = materialize(_holdings(blocks, bitmap, config))
+    near = materialize(_compared(_sought(heads, open_, nearest, "run long, b long"), open_, held, config))
+    rest = heads.join(near, ["run", "k"], "left_anti")
+    probes = materialize(_sought(rest, open_, rarest, "run long, a long, h long"))
+    holders = held.select("b", F.explode("held").alias("h")).join(probes, "h").where("b < a").select("run", "b").distinct()
+    far = materialize(_compared(holders, open_, held, config))
+    found = heads.join(near.unionByName(far).groupBy("run", "k").agg(F.min("b").alias("b")), ["run", "k"], "left").select("same", "head", "b")
+    return every.join(found, "same").select("a", "first", (F.col("first") + width).alias("after"), F.expr("coalesce(b, CASE WHEN head < a THEN head END)").alias("b")).where("b is not null")
 
 
 def _merged(spans: DataFrame) -> DataFrame:
@@ -340,18 +448,16 @@ def _merged(spans: DataFrame) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame:
     """``doc_id, source_doc_id, first_token, after_token``: spans of a document's tokens that repeat passages of earlier documents."""
-    made = signatures(docs, config)
-    lists = made.groupBy("value").agg(F.min("doc").alias("least"), F.max("doc").alias("top")).where("least < top").select("value", "least")
-    every = materialize(made.join(lists, "value"))
-    heads = materialize(every.where("doc = least").groupBy("value", "doc").agg(F.min("at").alias("at")))
-    listed = every.where("doc > least").select("value", "doc", "at")
-    first = materialize(_verified(materialize(_regions(_paired(listed, heads, "b < a"), config)), docs, config))
-    spans = first.groupBy("a").agg(F.collect_set(F.struct("first", "after")).alias("spans")).withColumnRenamed("a", "doc")
-    free = materialize(listed.join(spans, "doc", "left").where(_FREE.format(width=config.width)).select("value", "doc", "at"))
-    open_ = materialize(_repeatable(free, listed, docs, config))
-    second = _verified(materialize(_regions(_paired(open_, listed, "b < a"), config)), docs, config)
+    blocks = materialize(_blocks(docs))
+    size = blocks.agg(F.sum("size")).first()[0] or 0
+    bits = max(4, (size // _BUCKET).bit_length())
+    settled = materialize(_settled(blocks, _answers(blocks, bits, config), bits, config))
+    spans = settled.where("run is null").select("a", "first", "after", "b")
+    open_ = settled.where("run is not null")
+    if not open_.isEmpty():
+        spans = spans.unionByName(_open_spans(open_, blocks, config))
     # a span of w shingles is one of w + shingle - 1 tokens
-    return _merged(first.unionByName(second).withColumn("after", F.col("after") + config.shingle - 1))
+    return _merged(spans.withColumn("after", F.col("after") + config.shingle - 1))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -112,6 +112,53 @@ def test_a_passage_in_many_documents_gives_a_row_each(spark):
     assert all(r.source_doc_id == 1 and r.first_token <= 60 and r.after_token >= 130 for r in got)
 
 
+def repeats(rows, config):
+    """The rows of repeated_passages by brute force: the least earlier document of every window, windows that touch as one."""
+    grams = {}
+    for i, t in rows:
+        w = t.split()
+        grams[i] = [tuple(w[k : k + config.shingle]) for k in range(len(w) - config.shingle + 1)]
+    sets, out = {i: set(g) for i, g in grams.items()}, []
+    for i, g in sorted(grams.items()):
+        mine = []
+        for k in range(len(g) - config.width + 1):
+            found = [j for j in sets if j < i and sum(x in sets[j] for x in g[k : k + config.width]) >= config.need]
+            if found and mine and k <= mine[-1][3]:
+                mine[-1] = (i, min(mine[-1][1], *found), mine[-1][2], k + config.passage)
+            elif found:
+                mine.append((i, min(found), k, k + config.passage))
+        out += mine
+    return out
+
+
+def test_every_window_at_the_threshold_is_found(spark):
+    rng = random.Random(61)
+    config = passages.PassageConfig()
+    phrases = [words(rng, 12, 10**6) for _ in range(12)]
+    rows = []
+    for k in range(60):
+        piece = words(rng, 50, 10**6)
+        for copy in range(2):  # nine of 46 shingles differ: four fifths are the same
+            body = words(rng, 60, 10**6)
+            if copy:
+                piece = piece[:]
+                piece[20], piece[24] = "edited", "again"
+            at = rng.randrange(60)
+            body[at:at] = piece
+            rows.append((100 * copy + k, " ".join(body)))
+    for k in range(30):  # phrases that many documents share, in all orders
+        rows.append((300 + k, " ".join(sum((rng.choice(phrases) for _ in range(9)), []))))
+    half = words(rng, 70, 10**6)
+    for k, piece in enumerate((half[:38], half[32:], half, half[1:], half)):  # the first that has some, and those that have all
+        rows.append((400 + k, " ".join(words(rng, 30, 10**6) + piece)))
+    rng.shuffle(rows)
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), config).collect()
+    want = repeats(rows, config)
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert {100 + k for k in range(60)} <= {i for i, *_ in want} and any(i >= 300 for i, *_ in want)
+    assert {(j, i) for i, j, *_ in want if i >= 400} == {(402, 403), (402, 404)}
+
+
 # language
 
 

@@ -16,7 +16,9 @@ wherever they are in it. What is sought for each window is the least such docume
 3. Their first document that can repeat them is tried.
 4. What is still open is sought among all documents: one that repeats a window
    of ``m`` shingles of earlier documents lacks ``m - need`` of them at most, so it holds one of any
-   ``m - need + 1``, and the rarest are looked up. Each document that has one is compared.
+   ``m - need + 1``, and the rarest are looked up. Each document that has one is compared:
+   first by a sketch of 512 bits of its shingles, which can only show too many of them, as
+   pairs that share a short phrase alone grow faster than the input; then by the shingles.
 
 No list is cut and no window is sampled. Steps 3 and 4 read of every document only shingles that are
 in an open window, told by a bitmap of bounded size, which lets others pass but loses none.
@@ -331,7 +333,7 @@ def _passing(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _holdings(blocks: DataFrame, bitmap, config: PassageConfig) -> DataFrame:
-    """``b, held``: the shingles of every document that pass the bitmap."""
+    """``b, held, sketch``: the shingles of every document that pass the bitmap, and 512 bits in which each sets one."""
 
     def run(batches):
         for batch in batches:
@@ -350,7 +352,43 @@ def _holdings(blocks: DataFrame, bitmap, config: PassageConfig) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(doc[first]), lists], names=["b", "held"])
 
     made = blocks.select("data").mapInArrow(run, "b long, held array<long>")
-    return made.groupBy("b").agg(F.flatten(F.collect_list("held")).alias("held"))
+
+    def sketch(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = np.asarray(lists.value_lengths())
+            bits = np.zeros((len(batch), 512), bool)
+            bits[np.repeat(np.arange(len(batch)), sizes), _bit(np.asarray(lists.flatten()).view(np.uint64))] = True
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array([x.tobytes() for x in np.packbits(bits, axis=1, bitorder="little")], pa.binary())], names=["b", "held", "sketch"])
+
+    return made.groupBy("b").agg(F.flatten(F.collect_list("held")).alias("held")).mapInArrow(sketch, "b long, held array<long>, sketch binary")
+
+
+def _bit(values: np.ndarray) -> np.ndarray:
+    """The bit of a sketch that a shingle sets."""
+    return (tokens.mix(values ^ _TOP) >> np.uint64(55)).astype(np.int64)
+
+
+def _likely(pairs: DataFrame, open_: DataFrame, held: DataFrame, config: PassageConfig) -> DataFrame:
+    """The ``pairs(run, b)`` of which a window has enough shingles by the document's sketch."""
+    width, need = config.width, config.need
+
+    def run(batches):
+        for batch in batches:
+            own = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]
+            if not own:
+                continue
+            sizes = np.array([len(x) for x in own])
+            flat, of = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
+            bit = _bit(flat)
+            sketches = np.frombuffer(b"".join(x.as_buffer() for x in batch.column(3)), np.uint8).reshape(-1, 64)
+            total = np.concatenate([[0], np.cumsum((flat != 0) & (sketches[of, bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0))])
+            enough = (total[width:] - total[:-width] >= need) & (of[width - 1 :] == of[: len(of) - width + 1])
+            keep = np.unique(of[np.flatnonzero(enough)])
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep)) for k in range(2)], names=["run", "b"])
+
+    both = pairs.join(held.select("b", "sketch"), "b").join(open_.select("run", "s"), "run").select("run", "b", "s", "sketch")
+    return both.mapInArrow(run, "run long, b long")
 
 
 def _compared(pairs: DataFrame, open_: DataFrame, held: DataFrame, config: PassageConfig) -> DataFrame:
@@ -366,7 +404,7 @@ def _compared(pairs: DataFrame, open_: DataFrame, held: DataFrame, config: Passa
                 if len(k):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), r)), pa.array(k), pa.array(np.full(len(k), b))], names=["run", "k", "b"])
 
-    both = pairs.join(held, "b").join(open_.select("run", "s"), "run").select("run", "b", "s", "held")
+    both = pairs.join(held.select("b", "held"), "b").join(open_.select("run", "s"), "run").select("run", "b", "s", "held")
     return both.mapInArrow(run, "run long, k long, b long").groupBy("run", "k").agg(F.min("b").alias("b"))
 
 
@@ -413,17 +451,18 @@ def _open_spans(open_: DataFrame, blocks: DataFrame, config: PassageConfig) -> D
             spare = (w < 1 << 40).sum(1) - need + 1
             chosen = np.arange(width) < spare[:, None]
             pick[(part[:, None] + by)[chosen]] = True
-        out = np.unique(s[pick]).view(np.int64)
-        return np.full(len(out), r), np.full(len(out), a), out
+        out, low = np.unique(s[pick]).view(np.int64), nearest(r, a, k, s, least, many)[1][0]
+        return np.full(len(out), r), np.full(len(out), a), np.full(len(out), low), out
 
     sc = open_.sparkSession.sparkContext
     bitmap = sc.broadcast(_bitmap(open_, "s"))
     held = materialize(_holdings(blocks, bitmap, config))
     near = materialize(_compared(_sought(heads, open_, nearest, "run long, b long"), open_, held, config))
     rest = heads.join(near, ["run", "k"], "left_anti")
-    probes = materialize(_sought(rest, open_, rarest, "run long, a long, h long"))
-    holders = held.select("b", F.explode("held").alias("h")).join(probes, "h").where("b < a").select("run", "b").distinct()
-    far = materialize(_compared(holders, open_, held, config))
+    probes = materialize(_sought(rest, open_, rarest, "run long, a long, low long, h long"))
+    holders = held.select("b", F.explode("held").alias("h")).join(probes, "h").where("low < b AND b < a").select("run", "b").distinct()
+    likely = materialize(_likely(holders, open_, held, config))
+    far = materialize(_compared(likely, open_, held, config))
     found = heads.join(near.unionByName(far).groupBy("run", "k").agg(F.min("b").alias("b")), ["run", "k"], "left").select("same", "head", "b")
     return every.join(found, "same").select("a", "first", (F.col("first") + width).alias("after"), F.expr("coalesce(b, CASE WHEN head < a THEN head END)").alias("b")).where("b is not null")
 

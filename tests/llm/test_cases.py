@@ -159,6 +159,23 @@ def test_every_window_at_the_threshold_is_found(spark):
     assert {(j, i) for i, j, *_ in want if i >= 400} == {(402, 403), (402, 404)}
 
 
+def test_pairs_that_share_a_short_phrase_alone_are_not_compared(spark, monkeypatch):
+    rng = random.Random(62)
+    one, other = words(rng, 25, 10**6), words(rng, 25, 10**6)
+    rows = [(k, " ".join(words(rng, 20, 10**6) + (other if k % 2 else one) + words(rng, 20, 10**6))) for k in range(200)]
+    rows += [(200 + k, " ".join(one + words(rng, 1, 10**6) + other)) for k in range(20)]
+    compared, pairs = passages._compared, []
+
+    def counted(asked, *rest):
+        pairs.append(asked.count())
+        return compared(asked, *rest)
+
+    monkeypatch.setattr(passages, "_compared", counted)
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == repeats(rows, passages.PassageConfig()) and {r.source_doc_id for r in got} == {200}
+    assert sum(pairs) < 400
+
+
 # language
 
 

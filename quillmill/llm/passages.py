@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from quillmill.llm import tokens
-from quillmill.runtime import materialize, read_table
+from quillmill.runtime import keep, materialize, read_table, temporary
 
 _TOP = np.uint64(1 << 63)
 #: Text of a block and of a bucket, in bytes; bits of the bitmap at most.
@@ -197,8 +197,28 @@ def _binaries(columns: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if len(c) and isinstance(c[0], bytes) else pa.int64()) for c in columns], names=names)
 
 
-def _answers(blocks: DataFrame, bits: int, config: PassageConfig) -> DataFrame:
-    """``block, bucket, at, least, many``: of the distinct shingles that a block sent to a bucket, the numbers of those that earlier documents hold, the least of these documents and how many there are."""
+def _packed(values: np.ndarray) -> bytes:
+    """Ascending integers: the first, then the steps between them, as narrow as the widest."""
+    steps = np.diff(values.view(np.uint64))
+    return values[:1].tobytes() + _narrow(steps)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    steps = _wide(data[8:], n - 1)
+    return np.cumsum(np.concatenate([np.frombuffer(data, np.uint64, 1), steps]), dtype=np.uint64).view(np.int64)
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Unsigned integers in the least width that holds all."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) // n}").astype(np.uint64) if n else np.zeros(0, np.uint64)
+
+
+def _asked(blocks: DataFrame, bits: int, config: PassageConfig) -> DataFrame:
+    """``bucket, block, high, low, doc, many``: the distinct shingles that a block sends to a bucket, about eight bytes for each: 48 bits of the hash, the step to the document from that of the one before, and how many more documents of the block hold it."""
 
     def ask(batches):
         for batch in batches:
@@ -208,17 +228,25 @@ def _answers(blocks: DataFrame, bits: int, config: PassageConfig) -> DataFrame:
                 high, low, many = (key >> np.uint64(16)).astype(np.uint32), key.astype(np.uint16), np.minimum(b.count - 1, 65535).astype(np.uint16)
                 full = np.flatnonzero(np.diff(b.cut))
                 for some in np.array_split(full, max(1, len(full) // 64)):
-                    rows = [(int(k), block, *(x[b.cut[k] : b.cut[k + 1]].tobytes() for x in (high, low, b.least, many))) for k in some]
+                    rows = [(int(k), block, high[z].tobytes(), low[z].tobytes(), _packed(b.least[z]), _narrow(many[z])) for k in some for z in (slice(b.cut[k], b.cut[k + 1]),)]
                     if rows:
                         yield _binaries(list(zip(*rows)), ["bucket", "block", "high", "low", "doc", "many"])
 
+    return blocks.select("block", "data").mapInArrow(ask, "bucket long, block long, high binary, low binary, doc binary, many binary")
+
+
+def _answers(blocks: DataFrame, bits: int, config: PassageConfig) -> DataFrame:
+    """``block, bucket, at, least, many``: of the distinct shingles that a block sent to a bucket, the numbers of those that earlier documents hold, the least of these documents and how many there are."""
+
     def answer(table: pa.Table) -> pa.Table:
         def column(name, kind):
             return np.frombuffer(b"".join(x.as_buffer() for x in table.column(name)), kind)
 
         key = column("high", np.uint32).astype(np.uint64) << np.uint64(16) | column("low", np.uint16)
-        doc = column("doc", np.int64)
-        cut = np.concatenate([[0], np.cumsum([len(x.as_buffer()) // 8 for x in table.column("doc")])])
+        sizes = [len(x.as_buffer()) // 4 for x in table.column("high")]
+        doc = np.concatenate([_unpacked(x.as_py(), n) for x, n in zip(table.column("doc"), sizes)])
+        times = np.concatenate([_wide(x.as_py(), n).astype(np.uint16) for x, n in zip(table.column("many"), sizes)])
+        cut = np.concatenate([[0], np.cumsum(sizes)])
         order = np.argsort(key)
         key = key[order]
         begins = np.concatenate([[True], key[1:] != key[:-1]])
@@ -227,7 +255,7 @@ def _answers(blocks: DataFrame, bits: int, config: PassageConfig) -> DataFrame:
         of = np.empty(len(order), np.int64)
         of[order] = np.cumsum(begins) - 1
         least = np.minimum.reduceat(doc[order], first)
-        many = np.minimum(np.add.reduceat(column("many", np.uint16)[order].astype(np.int64) + 1, first), (1 << 32) - 1).astype(np.uint32)
+        many = np.minimum(np.add.reduceat(times[order].astype(np.int64) + 1, first), (1 << 32) - 1).astype(np.uint32)
         hit = np.flatnonzero(least[of] < doc)
         ends, rows = np.searchsorted(hit, cut), []
         bucket = table.column("bucket")[0].as_py()
@@ -239,8 +267,7 @@ def _answers(blocks: DataFrame, bits: int, config: PassageConfig) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 3]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=names)
 
-    asked = blocks.select("block", "data").mapInArrow(ask, "bucket long, block long, high binary, low binary, doc binary, many binary")
-    return asked.groupBy("bucket").applyInArrow(answer, "block long, bucket long, at binary, least binary, many binary")
+    return _asked(blocks, bits, config).groupBy("bucket").applyInArrow(answer, "block long, bucket long, at binary, least binary, many binary")
 
 
 def _runs(places: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -404,7 +431,8 @@ def _compared(pairs: DataFrame, open_: DataFrame, held: DataFrame, config: Passa
                 if len(k):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), r)), pa.array(k), pa.array(np.full(len(k), b))], names=["run", "k", "b"])
 
-    both = pairs.join(held.select("b", "held"), "b").join(open_.select("run", "s"), "run").select("run", "b", "s", "held")
+    # a run is shorter than a document's list, so that it is the run that goes along with each pair
+    both = pairs.join(open_.select("run", "s"), "run").join(held.select("b", "held"), "b").select("run", "b", "s", "held")
     return both.mapInArrow(run, "run long, k long, b long").groupBy("run", "k").agg(F.min("b").alias("b"))
 
 
@@ -490,7 +518,12 @@ def repeated_passages(docs: DataFrame, config: PassageConfig = PassageConfig())
     blocks = materialize(_blocks(docs))
     size = blocks.agg(F.sum("size")).first()[0] or 0
     bits = max(4, (size // _BUCKET).bit_length())
-    settled = materialize(_settled(blocks, _answers(blocks, bits, config), bits, config))
+    with temporary(docs.sparkSession) as made:
+        # written before they meet the blocks, so that the questions, of every shingle, are gone when the blocks are shuffled
+        answers = materialize(_answers(blocks, bits, config))
+        settled = materialize(_settled(blocks, answers, bits, config))
+        kept = made.pop()
+    keep(kept)
     spans = settled.where("run is null").select("a", "first", "after", "b")
     open_ = settled.where("run is not null")
     if not open_.isEmpty():

@@ -1,0 +1,16 @@
+"""What has to stay small, and texts on which engines differ."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from quillmill.llm import passages
+
+
+def test_op6_asks_about_eight_bytes_for_a_shingle(spark):
+    for ids in ([5], [7, 7, 8], [-9, 3, 1 << 62], [-(1 << 63), (1 << 63) - 1], range(1000)):
+        own = np.array(ids, np.int64)
+        assert passages._unpacked(passages._packed(own), len(own)).tolist() == own.tolist()
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * 97 + k}" for k in range(60))) for i in range(400)], "doc_id long, text string").coalesce(1)
+    asked = passages._asked(passages._blocks(docs), 6, passages.PassageConfig())
+    size, n = asked.agg(F.sum(sum(F.octet_length(c) for c in ("high", "low", "doc", "many"))), F.sum(F.octet_length("high") / 4)).first()
+    assert n == 400 * 56 and size < 9 * n

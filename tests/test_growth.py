@@ -3,7 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from quillmill import config
 from quillmill.llm import passages
+from quillmill.operators import near
 
 
 def test_op6_asks_about_eight_bytes_for_a_shingle(spark):
@@ -14,3 +16,15 @@ def test_op6_asks_about_eight_bytes_for_a_shingle(spark):
     asked = passages._asked(passages._blocks(docs), 6, passages.PassageConfig())
     size, n = asked.agg(F.sum(sum(F.octet_length(c) for c in ("high", "low", "doc", "many"))), F.sum(F.octet_length("high") / 4)).first()
     assert n == 400 * 56 and size < 9 * n
+
+
+def test_wide_simhash_pairs_are_streamed_in_tiles(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 62, 30)
+    hashes = {int(i): int(base[rng.integers(30)] ^ np.bitwise_or.reduce(1 << rng.integers(0, 63, 7))) for i in rng.permutation(9000)[:1500] - 500}
+    heads = spark.createDataFrame([(i, h) for i, h in hashes.items()], "doc_id long, simhash long")
+    found = near._simhash_pairs(heads, config.NearConfig(method="simhash"))
+    want = {(a, b): 1 - d / 64 for a in hashes for b in hashes if a < b and (d := ((hashes[a] ^ hashes[b]) % (1 << 64)).bit_count()) <= 12}
+    rows = found.collect()
+    assert len(rows) == len(want) and {(r.id_a, r.id_b): r.score for r in rows} == want
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()

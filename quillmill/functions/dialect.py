@@ -2,11 +2,14 @@
 
 Operators are written once as SQL templates. ``SPARK`` renders them for the
 engine, ``DUCK`` for the checks against DuckDB. Regular expressions stay within what
-Java and RE2 read alike: ASCII classes, no look-around, no back-references.
+Java and RE2 read alike: ASCII classes, no look-around, no back-references. ``\\b`` and
+``(?i)`` are RE2's; for Java they are spelled out.
 """
 
 from __future__ import annotations
 
+import re
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII blanks and punctuation, as the inside of a character class.
 BLANK = r" \t\n\x0B\f\r"
@@ -56,11 +59,28 @@ class Dialect:
         return self.keep(self.map(self.all(x, f"[^{BLANK}]+"), "w", self.strip("w")), "w", "w <> ''")
 
 
+def _java(pattern: str) -> str:
+    """``pattern`` as RE2 reads it: word boundaries between ASCII characters alone, and with ``(?i)`` the two letters beyond ASCII whose other case is an ASCII letter."""
+    word = "[0-9A-Za-z_]"
+    edge = f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))"
+    parts = re.findall(r"\\x[0-9A-Fa-f]{2}|\\.|\(\?[a-z]*[:)]?|\[\^?\]?(?:\\.|[^\]\\])*\]|.", pattern, re.S)
+    folded = pattern.startswith("(?i)")
+
+    def one(x: str) -> str:
+        if x == r"\b":
+            return edge
+        if folded and x[0] == "[" and ("a-z" in x or "A-Z" in x):
+            return x[:-1] + "\u017f\u212a]"
+        return {"s": "[s\u017f]", "k": "[k\u212a]"}.get(x.lower(), x) if folded else x
+
+    return "".join(map(one, parts))
+
+
 class Spark(Dialect):
     name = "spark"
 
     def re(self, pattern: str) -> str:
-        return f"r'{pattern}'"
+        return f"r'{_java(pattern)}'"
 
     def text(self, value: str) -> str:
         return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"

@@ -1,11 +1,14 @@
 """What has to stay small, and texts on which engines differ."""
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from quillmill import config
 from quillmill.llm import passages
-from quillmill.operators import near
+from quillmill.operators import near, pii
+from quillmill.plans import registry
+from quillmill.sources import readers, writers
 
 
 def test_op6_asks_about_eight_bytes_for_a_shingle(spark):
@@ -59,3 +62,13 @@ def test_wide_simhash_pairs_are_streamed_in_tiles(spark):
     rows = found.collect()
     assert len(rows) == len(want) and {(r.id_a, r.id_b): r.score for r in rows} == want
     assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidates_of_personal_data_equal_sql_beyond_ascii(spark):
+    words = ["1 foo st\u00fcck", "1 foo st", "1 foo \u017ft", "a 12 o\u212a ROAD", "\u00e91 foo rd", "x@y.co\u00e9", "\u00e9x@y.com", "\u212a@a.o\u212a", "\u00e9123-45-6789\u00e9", "1.2.3.4\u00fc", "\u0663555-123-4567", "a\u0301 5 a la\u0301 ln", "_1 a st_", "1 a\u0131 st", "1 a\u0130 st"]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(words)))
+    want = sorted(db.execute(registry.ORACLES["pii_candidates"]).fetchall())
+    assert sorted(map(tuple, pii.COUNTS.spark(docs).collect())) == want and sum(sum(r[1:]) for r in want) > 6

@@ -6,12 +6,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
+#: Every character of a text as it is; by default blanks at the ends of a value go.
+_CSV = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_documents(docs: DataFrame, path: str, kind: str = "txt", mode: str = "overwrite") -> None:
     """The text column as lines (line ends in a text become spaces), as quoted CSV, JSON lines or Parquet with all columns."""
     if kind == "txt":
         docs.select(F.regexp_replace("text", r"[\r\n]+", " ").alias("value")).write.mode(mode).text(path)
     elif kind == "csv":
-        docs.select("text").write.mode(mode).csv(path, header=True, quoteAll=True, escape='"')
+        docs.select("text").write.mode(mode).csv(path, **_CSV)
     elif kind == "json":
         docs.write.mode(mode).json(path)
     elif kind == "parquet":
@@ -47,13 +51,13 @@ def write_text_blocks(extracted: DataFrame, path: str, mode: str = "overwrite")
 
 def write_matches(matches: DataFrame, path: str, mode: str = "overwrite") -> None:
     """The n-gram matches of documents as quoted CSV."""
-    matches.select("doc_id", "position", "gram", "dataset").write.mode(mode).csv(path, header=True, quoteAll=True, escape='"')
+    matches.select("doc_id", "position", "gram", "dataset").write.mode(mode).csv(path, **_CSV)
 
 
 def write_results(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
     """``document`` and, where there is one, ``weight``."""
     columns = [F.col("text").alias("document"), *([F.col("weight")] if "weight" in docs.columns else [])]
-    docs.select(*columns).write.mode(mode).csv(path, header=True, quoteAll=True, escape='"')
+    docs.select(*columns).write.mode(mode).csv(path, **_CSV)
 
 
 def write_list(entries: DataFrame, column: str, path: str, mode: str = "overwrite") -> None:

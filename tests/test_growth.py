@@ -72,3 +72,12 @@ def test_candidates_of_personal_data_equal_sql_beyond_ascii(spark):
     db.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(words)))
     want = sorted(db.execute(registry.ORACLES["pii_candidates"]).fetchall())
     assert sorted(map(tuple, pii.COUNTS.spark(docs).collect())) == want and sum(sum(r[1:]) for r in want) > 6
+
+
+def test_csv_gives_back_blanks_at_the_ends(spark, tmp_path):
+    texts = [" a", "a ", "\ta\t", "  ", "\n", "\r\n", "\na\n", "a\"\n", "\0a", "\x1fa\x1f", "a\r\nb", "\\", "a,\"b\"", "\u00a0"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    writers.write_documents(df, f"{tmp_path}/x.csv", "csv")
+    assert sorted(r.text for r in readers.read_documents(spark, f"{tmp_path}/x.csv").collect()) == sorted(texts)
+    writers.write_results(df, f"{tmp_path}/y.csv")
+    assert sorted(r.text for r in readers.read_csv(spark, f"{tmp_path}/y.csv", "document").collect()) == sorted(texts)

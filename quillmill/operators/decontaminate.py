@@ -1,7 +1,7 @@
 """Overlap with benchmarks by n-grams of words or characters: index, matches, assessment and reports.
 
-The n-grams of the benchmarks, deduplicated, meet those of the documents in an equi-join
-on hashes of 128 bits; an index of checked size is broadcast. A text of fewer than ``n`` words (or
+The n-grams of the benchmarks, deduplicated, meet those of the documents whose hash is in a bitmap of
+bounded size in an equi-join; an index of checked size is broadcast. A text of fewer than ``n`` words (or
 characters) has no n-gram. Null counts as empty; rows that share a ``doc_id`` are one document for
 the counts; an empty index matches nothing; other columns, whatever their names, pass through ``clean``.
 """
@@ -13,6 +13,7 @@ import dataclasses
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quillmill.config import DecontaminationConfig
+from quillmill.functions import grams as windows
 from quillmill.functions.dialect import BLANK, DUCK, PUNCT, SPARK, Dialect
 from quillmill.runtime import broadcast_if_small, materialize
 
@@ -60,21 +61,19 @@ def extend(indexed: DataFrame, grams: DataFrame, dataset: str) -> DataFrame:
 
 def without_frequent(indexed: DataFrame, docs: DataFrame, config: DecontaminationConfig = DecontaminationConfig()) -> DataFrame:
     """The index without the n-grams that ``max_frequency`` documents or more hold: phrases, not leaks."""
-    held = _hashed(docs, config).join(broadcast_if_small(indexed).select("h1", "h2"), ["h1", "h2"]).select("doc_id", "h1", "h2").distinct()
+    held = _held(docs, indexed, config).join(broadcast_if_small(indexed).select("gram", "h1", "h2"), "gram").select("doc_id", "h1", "h2").distinct()
     frequent = held.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= config.max_frequency)
     return materialize(indexed.join(frequent, ["h1", "h2"], "left_anti").select("gram", "dataset", "h1", "h2"))
 
 
-def _hashed(docs: DataFrame, config: DecontaminationConfig, outer: bool = False) -> DataFrame:
-    """``doc_id, total_ngrams, position, h1, h2``: strings end where they are hashed."""
-    rows = _exploded(docs, "text", config, "doc_id").select("doc_id", F.size("grams").alias("total_ngrams"), F.posexplode_outer("grams").alias("position", "gram"))
-    hashed = rows.select("doc_id", "total_ngrams", "position", *(F.when(F.col("gram").isNotNull(), k) for k in _keys(F.col("gram")))).toDF("doc_id", "total_ngrams", "position", "h1", "h2")
-    return hashed if outer else hashed.where("h1 is not null")
+def _held(docs: DataFrame, table: DataFrame, config: DecontaminationConfig) -> DataFrame:
+    """``doc_id, position, gram`` of the n-grams that the written ``table`` may hold: all that it holds and few others."""
+    return windows.candidates(docs, table, config).select("doc_id", F.explode_outer("hits").alias("x")).where("x is not null").select("doc_id", "x.position", "x.gram")
 
 
 def matches(docs: DataFrame, indexed: DataFrame, config: DecontaminationConfig = DecontaminationConfig()) -> DataFrame:
     """``doc_id, position, gram, dataset``: the first ``max_matches`` of every document by position, all with ``uncapped_score``."""
-    found = _hashed(docs, config).join(broadcast_if_small(indexed), ["h1", "h2"]).select("doc_id", "position", "gram", "dataset")
+    found = _held(docs, indexed, config).join(broadcast_if_small(indexed), "gram").select("doc_id", "position", "gram", "dataset")
     if config.uncapped_score:
         return found
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy("position"))
@@ -86,7 +85,8 @@ def assess(docs: DataFrame, indexed: DataFrame, config: DecontaminationConfig =
 
     One pass over the texts. With ``uncapped_score`` all matches count, so that long documents can be flagged too.
     """
-    met = _hashed(docs, config, outer=True).join(broadcast_if_small(indexed).select("h1", "h2", "dataset"), ["h1", "h2"], "left")
+    rows = windows.candidates(docs, indexed, config).select("doc_id", "total_ngrams", F.explode_outer("hits").alias("x")).select("doc_id", "total_ngrams", "x.gram")
+    met = rows.join(broadcast_if_small(indexed).select("gram", "dataset"), "gram", "left")
     found = met.groupBy("doc_id", "total_ngrams", "dataset").agg(F.count("dataset").alias("c"))
     most = F.sum("c") if config.uncapped_score else F.least(F.lit(config.max_matches), F.sum("c"))
     hits = found.groupBy("doc_id", "total_ngrams").agg(most.cast("long").alias("matched"), F.min_by("dataset", F.when(F.col("c") > 0, F.struct(-F.col("c"), "dataset"))).alias("source"))
@@ -110,10 +110,10 @@ def adaptive(docs: DataFrame, benchmark: DataFrame, sizes: tuple = (8, 12, 16),
 def approximate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.9, n: int = 3) -> DataFrame:
     """``doc_id, item_id, containment``: items of whose distinct word n-grams a document holds the share ``threshold`` or more. (A definition of this engine.)"""
     c = DecontaminationConfig(n=n, case_insensitive=True, remove_punctuation=True)
-    items = _exploded(benchmark, "text", c, "item_id").select("item_id", F.explode_outer(F.array_distinct("grams")).alias("gram")).where("gram is not null").select("item_id", *_keys(F.col("gram")))
+    items = _exploded(benchmark, "text", c, "item_id").select("item_id", F.explode_outer(F.array_distinct("grams")).alias("gram")).where("gram is not null")
     items = materialize(items)
     sizes = items.groupBy("item_id").agg(F.count("*").alias("size"))
-    held = _hashed(docs, c).select("doc_id", "h1", "h2").join(broadcast_if_small(items), ["h1", "h2"]).distinct()
+    held = _held(docs, items, c).select("doc_id", "gram").distinct().join(broadcast_if_small(items), "gram")
     found = held.groupBy("doc_id", "item_id").agg(F.count("*").alias("c")).join(sizes, "item_id")
     return found.where(F.col("c") >= threshold * F.col("size")).select("doc_id", "item_id", F.round(F.col("c") / F.col("size"), 6).alias("containment"))
 

@@ -1,12 +1,16 @@
 """What has to stay small, and texts on which engines differ."""
 
+import re
+
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillmill import config
 from quillmill.llm import passages
-from quillmill.operators import near, pii
+from quillmill.functions import grams
+from quillmill.operators import decontaminate, near, pii
 from quillmill.plans import registry
 from quillmill.sources import readers, writers
 
@@ -93,3 +97,48 @@ def test_semantic_pairs_send_no_vector_once_for_each_block(spark):
     rows = found.collect()
     assert len(rows) == len(i) and {(r.id_a + 40, r.id_b + 40) for r in rows} == set(zip(i.tolist(), j.tolist())) != set()
     assert found.rdd.getNumPartitions() < 100  # blocks of 16 rows: 7875 pairs of them
+
+
+TEXTS = ["the cat sat on the mat and the dog sat on the cat", "The  Cat,\tsat on!", "", None, "caf\u00e9 \u00e9t\u00e9 caf\u00e9 na\u00efve caf\u00e9 \U0001f600 \U0001f600", "on", "a\u00a0b c", " lead and trail ", "x\ny\r\nz x y z x", "... , !!"]
+
+
+def _benchmark(spark):
+    items = ["cat sat on the mat", "caf\u00e9 \u00e9t\u00e9 caf\u00e9", "\U0001f600 \U0001f600", "y z x", "and trail"]
+    return items, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+
+
+@pytest.mark.parametrize("characters", [True, False])
+def test_windows_that_a_table_holds_are_found_without_a_row_for_each(spark, characters):
+    items, benchmark = _benchmark(spark)
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    for n, low, bare in ((1, True, True), (3, True, False), (2, False, True), (3, False, False)):
+        c = config.DecontaminationConfig(n=n, characters=characters, case_insensitive=low, remove_punctuation=bare, uncapped_score=True)
+
+        def units(x):
+            x = re.sub("[A-Z]+", lambda m: m.group().lower(), x) if low else x
+            x = re.sub(r"[!-/:-@\[-`{-~]+", "", x) if bare else x
+            words = re.findall("[^ \t\n\x0b\f\r]+", x)
+            return list(" ".join(words)) if characters else words
+
+        def runs(x):
+            u = units(x)
+            return [("" if characters else " ").join(u[k : k + n]) for k in range(len(u) - n + 1)]
+
+        index = decontaminate.index(benchmark, config=c)
+        known = {r.gram for r in index.collect()}
+        want = {(i, k, g) for i, t in enumerate(TEXTS) for k, g in enumerate(runs(t or "")) if g in known}
+        assert {(r.doc_id, r.position, r.gram) for r in decontaminate.matches(docs, index, c).collect()} == want != set()
+        assert {r.doc_id: r.total_ngrams for r in decontaminate.assess(docs, index, c).collect()} == {i: len(runs(t or "")) for i, t in enumerate(TEXTS)}
+        rows = grams.candidates(docs, index, c).collect()
+        assert len(rows) == len(TEXTS) and sum(len(r.hits) for r in rows) <= len(want) + 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_characters_of_texts_are_not_exploded(spark):
+    items, benchmark = _benchmark(spark)
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    c = config.DecontaminationConfig(n=5, characters=True)
+    assert "xxhash64" not in _plan(decontaminate.assess(docs, decontaminate.index(benchmark, config=c), c))

@@ -142,3 +142,10 @@ def test_characters_of_texts_are_not_exploded(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     c = config.DecontaminationConfig(n=5, characters=True)
     assert "xxhash64" not in _plan(decontaminate.assess(docs, decontaminate.index(benchmark, config=c), c))
+
+
+def test_words_of_texts_are_not_exploded_for_matches(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    c = config.DecontaminationConfig(n=3, uncapped_score=True)
+    found = decontaminate.matches(docs, decontaminate.index(_benchmark(spark)[1], config=c), c)
+    assert "xxhash64" not in _plan(found) and found.columns == ["doc_id", "position", "gram", "dataset"]

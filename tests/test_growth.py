@@ -149,3 +149,9 @@ def test_words_of_texts_are_not_exploded_for_matches(spark):
     c = config.DecontaminationConfig(n=3, uncapped_score=True)
     found = decontaminate.matches(docs, decontaminate.index(_benchmark(spark)[1], config=c), c)
     assert "xxhash64" not in _plan(found) and found.columns == ["doc_id", "position", "gram", "dataset"]
+
+
+def test_words_of_texts_are_not_exploded_for_several_sizes(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    found = decontaminate.adaptive(docs, _benchmark(spark)[1], sizes=(2, 3))
+    assert "xxhash64" not in _plan(found) and {r.doc_id for r in found.collect() if r.contaminated} >= {0}

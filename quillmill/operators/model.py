@@ -24,48 +24,82 @@ WEIGHTS, CONFIDENCES = {"perplexity": 1.0, "keyword": 1.5, "encoder": 2.0}, {"pe
 MAX_PERPLEXITY, STAGES = 50.0, (("keyword", 0.3), ("perplexity", 0.7))
 
 
+_DIGITS, _BLANKS = b"0123456789", b" \t\n\x0b\f\r"
+_PLAIN = _DIGITS + _BLANKS + bytes(range(65, 91)) + bytes(range(97, 123))
+_GOOD, _BAD = ([w.encode() for w in words] for words in (GOOD, BAD))
+
+
+def _repeats(low: bytes) -> int:
+    """Ten-byte stretches less the distinct ones: the closed form of counting those that occur again."""
+    n = len(low) - 9
+    if n < 2:
+        return 0
+    power = [np.uint64(pow(1_000_003, k, 1 << 64)) for k in (1, 2, 4, 8)]
+    one = np.frombuffer(low, np.uint8).astype(np.uint64)
+    two = one[:-1] + one[1:] * power[0]
+    four = two[:-2] + two[2:] * power[1]
+    h = four[:n] + four[4 : 4 + n] * power[2] + two[8 : 8 + n] * power[3]
+    h ^= h >> np.uint64(31)
+    h.sort()
+    return n - 1 - int(np.count_nonzero(h[1:] != h[:-1]))
+
+
 @F.pandas_udf(T_.LongType())
 def repeated_grams(text: pd.Series) -> pd.Series:
-    """Ten-byte stretches less the distinct ones, of the text with ASCII letters in lower case: the closed form of counting those that occur again."""
-    out = np.zeros(len(text), np.int64)
-    power = np.array([pow(1_000_003, k, 1 << 64) for k in range(10)], np.uint64)
-    for i, t in enumerate(text):
+    """``_repeats`` of the text with ASCII letters in lower case."""
+    return pd.Series([_repeats(t.encode().lower()) if t else 0 for t in text], dtype=np.int64)
+
+
+#: What the scores need of a text, counted in one pass: bytes, digits, symbols, sentence ends, bytes with runs of blanks as one, indicator words, repeated ten-grams.
+_COUNTS = ("n", "digit_n", "symbol_n", "stops", "collapsed_n", "good", "bad", "repeats")
+
+
+@F.pandas_udf(T_.StructType([T_.StructField(k, T_.LongType()) for k in _COUNTS]))
+def _counted(text: pd.Series) -> pd.DataFrame:
+    rows = np.zeros((len(text), len(_COUNTS)), np.int64)
+    for k, t in enumerate(text):
         if t:
-            b = np.frombuffer(t.encode().lower(), np.uint8).astype(np.uint64)
-            if len(b) >= 10:
-                n = len(b) - 9
-                h = np.zeros(n, np.uint64)
-                for k in range(10):
-                    h += b[k : k + n] * power[k]
-                h ^= h >> np.uint64(31)
-                out[i] = n - len(np.unique(h))
-    return pd.Series(out)
+            b = t.encode()
+            low = b.lower()
+            pieces = b.split()
+            blanks = len(pieces) - 1 + (b[0] in _BLANKS) + (b[-1] in _BLANKS) if pieces else 1
+            rows[k] = (
+                len(b), len(b) - len(b.translate(None, _DIGITS)), len(b.translate(None, _PLAIN)), b.count(b".") + b.count(b"!") + b.count(b"?"),
+                sum(map(len, pieces)) + blanks, sum(w in low for w in _GOOD), sum(w in low for w in _BAD), _repeats(low),
+            )
+    return pd.DataFrame(rows, columns=_COUNTS)
 
 
 def _n(x) -> str:
     return f"CAST({x} AS DOUBLE)"
 
 
-def _keyword(d: Dialect, x: str, low: str, out: str) -> list[dict]:
-    stops = T.sentences(d, x)
-    length = d.octets(x)
+def _keyword(d: Dialect, x: str, low: str, out: str, counted: tuple = ()) -> list[dict]:
+    """``counted``: columns that have the sentence ends, the bytes and the numbers of either kind of words."""
+    stops, length, good, bad = counted or (T.sentences(d, x), d.octets(x), d.how_many(low, GOOD), d.how_many(low, BAD))
     mean = f"CAST(floor({length} / {_n('1')} / greatest(1, {stops})) AS BIGINT)"
     score = (
-        f"{_n('0.5')} + ({d.how_many(low, GOOD)} * {_n('0.05')} - {d.how_many(low, BAD)} * {_n('0.1')}) + (CASE WHEN {length} > 500 THEN {_n('0.1')} ELSE {_n('0')} END)"
+        f"{_n('0.5')} + ({good} * {_n('0.05')} - {bad} * {_n('0.1')}) + (CASE WHEN {length} > 500 THEN {_n('0.1')} ELSE {_n('0')} END)"
         f" - (CASE WHEN {length} < 50 THEN {_n('0.2')} ELSE {_n('0')} END) + (CASE WHEN {stops} > 0 AND {mean} > 20 AND {mean} < 200 THEN {_n('0.1')} ELSE {_n('0')} END)"
     )
     return [{out: f"greatest({_n('0')}, least({_n('1')}, round({score}, 9)))"}]
 
 
 def _scores(d: Dialect) -> list[dict]:
-    """Needs ``repeats``."""
+    """Needs ``repeats``; for Spark ``__m``, the counts."""
     total = " + ".join(f"{_n(WEIGHTS[m] * 1000)} / 1000 * {_n(CONFIDENCES[m])}" for m in WEIGHTS)
     mixed = " + ".join(f"{_n(WEIGHTS[m])} * {_n(CONFIDENCES[m])} * {m}_score" for m in WEIGHTS)
     stages = "CASE " + " ".join(f"WHEN round({m}_score, 9) < {t} THEN {k}" for k, (m, t) in enumerate(STAGES)) + " ELSE -1 END"
+    if d.name == "spark":
+        # indicator words have no blanks and blanks are no sentence ends: their numbers are the same with blanks collapsed
+        counts = [{k: f"__m.{k}" for k in _COUNTS}, {f"{k}_ratio": d.ratio(f"{k}_n", "n") for k in ("digit", "symbol")}]
+        words = ("stops", "collapsed_n", "good", "bad"), ("stops", "n", "good", "bad")
+    else:
+        counts, words = [T.base(d), {**T.bytes_of(d), "low": d.lower("t")}, {**T.ratios(d), "collapsed": d.sub("low", f"[{BLANK}]+", " ")}], ((), ())
     return [
-        T.base(d), {**T.bytes_of(d), "low": d.lower("t")}, {**T.ratios(d), "collapsed": d.sub("low", f"[{BLANK}]+", " ")},
+        *counts,
         {"perplexity": f"CASE WHEN n = 0 THEN {_n('10')} ELSE {_n('10')} + digit_ratio * 50 + symbol_ratio * 30 + repeats * {_n('2')} END"},
-        {"perplexity_score": f"greatest({_n('0')}, 1 - perplexity / {_n(MAX_PERPLEXITY)})"}, *_keyword(d, "collapsed", "collapsed", "keyword_score"), *_keyword(d, "t", "low", "encoder_score"),
+        {"perplexity_score": f"greatest({_n('0')}, 1 - perplexity / {_n(MAX_PERPLEXITY)})"}, *_keyword(d, "collapsed", "collapsed", "keyword_score", words[0]), *_keyword(d, "t", "low", "encoder_score", words[1]),
         {"ensemble_score": f"({mixed}) / ({total})", "rejected_at": stages},
         {"result": "CASE WHEN rejected_at >= 0 OR round(ensemble_score, 9) < 0.5 THEN 'REJECT' ELSE 'KEEP' END"},
     ]
@@ -81,7 +115,7 @@ GRAMS = f"(SELECT d.*, coalesce(r, 0) AS repeats FROM documents d LEFT JOIN ({_C
 
 def scores(docs: DataFrame) -> DataFrame:
     """The models' scores, the ensemble and the decision in stages; ``rejected_at`` is the stage, -1 for none."""
-    return SCORES.spark(docs.withColumn("repeats", repeated_grams("text")))
+    return SCORES.spark(docs.select("doc_id", _counted(F.col("text").cast("string")).alias("__m")))
 
 
 def single_stage(docs: DataFrame, threshold: float = STAGES[0][1]) -> DataFrame:

@@ -155,3 +155,20 @@ def test_words_of_texts_are_not_exploded_for_several_sizes(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     found = decontaminate.adaptive(docs, _benchmark(spark)[1], sizes=(2, 3))
     assert "xxhash64" not in _plan(found) and {r.doc_id for r in found.collect() if r.contaminated} >= {0}
+
+
+MODEL = ["model_scores"]
+
+
+@pytest.mark.parametrize("name", MODEL)
+def test_model_scores_are_counted_in_one_pass(spark, tmp_path, name):
+    texts = [None, "", " ", "\t\n", "a", " a  b\r\n\tc ", "Results!  Analysis of  EVIDENCE? caf\u00e9 \u00fc\u00fc", "win free money now. click. easy trick!", "abcdefghij" * 30, "0123456789 " * 9, "x" * 9, "x" * 10, "x" * 11, "The study shows an approach. " * 40, "\u00a0\x0b\x0c!", "one two three. " * 3 + "\U0001f600", "word " * 130 + "."]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(0, len(texts), 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    db = duckdb.connect()
+    for table in ("documents", "labels"):
+        db.execute(f"CREATE TABLE {table} AS FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    found = registry.QUERIES[name](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == sorted(db.execute(registry.ORACLES[name]).fetchall())
+    assert "regexp" not in _plan(found)

@@ -157,7 +157,7 @@ def test_words_of_texts_are_not_exploded_for_several_sizes(spark):
     assert "xxhash64" not in _plan(found) and {r.doc_id for r in found.collect() if r.contaminated} >= {0}
 
 
-MODEL = ["model_scores", "model_stats", "model_accuracy"]
+MODEL = ["model_scores", "model_stats", "model_accuracy", "model_single_stage"]
 
 
 @pytest.mark.parametrize("name", MODEL)

@@ -172,3 +172,20 @@ def test_model_scores_are_counted_in_one_pass(spark, tmp_path, name):
     found = registry.QUERIES[name](spark, str(tmp_path))
     assert sorted(map(tuple, found.collect())) == sorted(db.execute(registry.ORACLES[name]).fetchall())
     assert "regexp" not in _plan(found)
+
+
+def test_personal_data_is_sought_once_and_only_where_it_can_be(spark):
+    texts = ["", "call 555-867-5309 or (555) 867 5309", "me@site.org, 4111111111111111", "10.20.30.40 x", "12 Long Oak\tStreet", "123-45-6789 and 123456789", "AB123456C 12-3456789", "John Smith", "no digits", "1.1", "7 up", "\u0663\u0664\u0665\u0666 \u00e9", None]
+    c = config.PiiConfig(names=True, government_ids=True)
+    needs, seen, old = pii._NEEDS, [], pii.detect
+    try:
+        pii._NEEDS = {}
+        want = [pii.detect(t, c) for t in texts]
+        pii._NEEDS = needs
+        assert [pii.detect(t, c) for t in texts] == want and sum(map(len, want)) >= 9
+        pii.detect = lambda *x: seen.append(x) or old(*x)
+        assert pii.sanitize(texts[1], c, want[1]) == "call [PHONE] or ([PHONE]" and not seen
+    finally:
+        pii._NEEDS, pii.detect = needs, old
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.s for r in pii.evaluate(docs, c).selectExpr("doc_id", "pii.sanitized AS s").collect()} == {i: pii.sanitize(t, c) for i, t in enumerate(texts)}

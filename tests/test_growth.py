@@ -1,6 +1,7 @@
 """What has to stay small, and texts on which engines differ."""
 
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from quillmill import config
 from quillmill.llm import passages
 from quillmill.functions import grams
-from quillmill.operators import decontaminate, near, pii
+from quillmill.operators import decontaminate, near, pii, tfidf
 from quillmill.plans import registry
 from quillmill.sources import readers, writers
 
@@ -189,3 +190,25 @@ def test_personal_data_is_sought_once_and_only_where_it_can_be(spark):
         pii._NEEDS, pii.detect = needs, old
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.s for r in pii.evaluate(docs, c).selectExpr("doc_id", "pii.sanitized AS s").collect()} == {i: pii.sanitize(t, c) for i, t in enumerate(texts)}
+
+
+def test_tfidf_pairs_shuffle_no_candidates(spark):
+    rng = np.random.default_rng(9)
+    base = [[f"w{x}" for x in rng.zipf(1.3, 40) % 300] for _ in range(60)]
+    texts = [" ".join(w if rng.random() > 0.06 else f"w{rng.integers(300)}" for w in base[k % 60]) for k in range(700)] + ["", "unseen", None, base[0][0]]
+    found = tfidf.pairs(spark.createDataFrame([(i - 90, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    words = [(t or "").split() for t in texts]
+    df = Counter(w for x in words for w in set(x))
+    idf = {w: np.log((1 + len(texts)) / (1 + n)) + 1 for w, n in df.items() if n >= 2}
+    number = {w: k for k, w in enumerate(sorted(idf))}
+    x = np.zeros((len(texts), len(idf)))
+    for k, own in enumerate(words):
+        for w in own:
+            if w in idf:
+                x[k, number[w]] += idf[w]
+    heads = sorted({r.tobytes(): k for k, r in reversed(list(enumerate(x))) if r.any()}.values())
+    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
+    want = {(i - 90, j - 90): s for i in heads for j in heads if i < j and (s := x[i] @ x[j]) >= 0.85}
+    got = {(r.id_a, r.id_b): r.score for r in found.collect()}
+    assert got.keys() == want.keys() and len(want) > 500 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert "Join" not in _plan(found) and "Aggregate" not in _plan(found)

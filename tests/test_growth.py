@@ -212,3 +212,14 @@ def test_tfidf_pairs_shuffle_no_candidates(spark):
     got = {(r.id_a, r.id_b): r.score for r in found.collect()}
     assert got.keys() == want.keys() and len(want) > 500 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert "Join" not in _plan(found) and "Aggregate" not in _plan(found)
+
+
+def test_semantic_dedup_keeps_what_pairs_of_all_shards_leave(spark):
+    x = np.random.default_rng(4).normal(size=(1200, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    y = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    alike, led = y @ y.T >= 0.8, np.zeros(len(x), bool)
+    want = [i for i in range(len(x)) if led[i] == 0 and (led.__ior__(alike[i]) is not None)]
+    c = config.SemanticConfig(threshold=0.8, block=4)
+    assert sorted(r.id for r in near.semantic_dedup(df, "id", "v", c).collect()) == want and len(want) < 1100
+    assert near.semantic_pairs(df, "id", "v", c).rdd.getNumPartitions() < 100
